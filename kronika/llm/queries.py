@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, mixing, secret_scan, url_filter
+from . import bpe, exact_dedup, html_extract, language_id, mixing, secret_scan, url_filter
 from .storage import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = url_filter.UrlFilter(url_filter.labelled_urls(spark))
     return fitted.judge(table(spark, sf_dir, "pages"))
@@ -37,6 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_url_filter": op2_url_filter,
     "op4_secret_scan": op4_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
