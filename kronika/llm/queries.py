@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, mixing, secret_scan, url_filter
+from . import bpe, exact_dedup, html_extract, language_id, mixing, secret_scan, url_filter, vp_search
 from .storage import table
 
 
@@ -18,6 +19,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_url_filter": op2_url_filter,
+    "op3_vp_search": op3_vp_search,
     "op4_secret_scan": op4_secret_scan,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
@@ -50,6 +56,22 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(range(1, len(c.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+  FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -96,4 +118,4 @@ SELECT doc_id, size, source_size, target,
 FROM j
 """
 
-ORACLES = {"op7_exact_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op3_vp_search": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
