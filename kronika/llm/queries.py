@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, mixing, secret_scan, url_filter, vp_search
+from . import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, secret_scan, url_filter, vp_search
 from .storage import table
 
 
@@ -27,6 +27,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_vp_search": op3_vp_search,
     "op4_secret_scan": op4_secret_scan,
+    "op5_near_dedup": op5_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
@@ -72,6 +77,27 @@ r AS (
 SELECT * FROM r WHERE rank <= 20
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w),
+x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM i JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
+  WHERE 100 * n >= 85 * (len(p.sh) + len(q.sh) - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept
+FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(sh)
+"""
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -118,4 +144,4 @@ SELECT doc_id, size, source_size, target,
 FROM j
 """
 
-ORACLES = {"op3_vp_search": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op3_vp_search": OP3_SQL, "op5_near_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
