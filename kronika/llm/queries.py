@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, secret_scan, url_filter, vp_search
+from . import bpe, exact_dedup, html_extract, language_id, mixing, near_dedup, secret_scan, suffix_dedup, url_filter, vp_search
 from .storage import table
 
 
@@ -31,6 +31,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_vp_search": op3_vp_search,
     "op4_secret_scan": op4_secret_scan,
     "op5_near_dedup": op5_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
