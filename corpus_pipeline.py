@@ -1,8 +1,72 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of training-data operators over ``documents``.
+
+Every stage takes all rows that the one before it kept, written as Parquet and read again, and returns the columns of
+documents; the last returns the encoding.  No stage reads anything but its input.
+
+* language ID rejects texts without letters (``und``) and texts of no language, whose best mean marginal is
+  below ``MIN_SCORE``;
+* exact dedup keeps one row of equal texts;
+* near-dedup keeps one document of each component at similarity 0.8;
+* mixing repeats or drops documents so that sources come near their targets;
+* byte-level BPE encodes what is left.
+
+Rows that repeat a ``doc_id`` share its decisions.  SQL cannot express the language model nor the encoding, so there is no
+oracle; tests hold ``run`` against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kronika.llm import bpe, exact_dedup, language_id, mixing, near_dedup
+from kronika.llm.storage import materialize, table
+
+MIN_SCORE = 0.4
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs.select(*COLUMNS), MIN_SCORE)
+
+
+def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """``docs`` less the documents that ``decided`` does not keep."""
+    return docs.select(*COLUMNS).join(decided.where("not kept").select("doc_id"), "doc_id", "left_anti")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, exact_dedup.dedup(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without(docs, near_dedup.near_duplicates(docs, percent=80))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    times = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias("times"))
+    repeated = docs.select(*COLUMNS).join(times, "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1), "times")))
+    return repeated.select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_copies),
+    ("near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

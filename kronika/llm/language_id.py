@@ -24,6 +24,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -254,32 +255,61 @@ def sample(docs: DataFrame, per_lang: int, seed: int = 5) -> list[tuple[str, str
     return [(r.lang, r.text or "") for r in rows.collect()]
 
 
+def predictions(tagger: Tagger | None, texts: list[str | None]):
+    """(index of the best language or -1, its share) of each text."""
+    words = [words_of(t) for t in texts]
+    best, score = np.full(len(words), -1), np.zeros(len(words))
+    some = [i for i, w in enumerate(words) if w] if tagger else []
+    for part in pieces_of(some, words):
+        shares = tagger.shares([words[i] for i in part])
+        best[part], score[part] = shares.argmax(1), shares.max(1)
+    return best, score.clip(0, 1)
+
+
+def fitted(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str):
+    """A broadcast tagger."""
+    columns = (F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    return docs.sparkSession.sparkContext.broadcast(train(sample(docs.select(*columns), per_lang)))
+
+
 def identify(
     docs: DataFrame, per_lang: int = 120, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row."""
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    tagger = train(sample(known, per_lang))
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(tagger)
-    kind = known.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
+    shared = fitted(docs, per_lang, id_col, text_col, lang_col)
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         tagger = shared.value
         for batch in batches:
-            words = [words_of(t) for t in batch["text"]]
-            best, score = np.full(len(words), -1), np.zeros(len(words))
-            some = [i for i, w in enumerate(words) if w] if tagger else []
-            for part in pieces_of(some, words):
-                shares = tagger.shares([words[i] for i in part])
-                best[part], score[part] = shares.argmax(1), shares.max(1)
+            best, score = predictions(tagger, list(batch["text"]))
             langs = [tagger.langs[i] if i >= 0 else UNKNOWN for i in best]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": langs, "score": score.clip(0, 1)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": langs, "score": score})
 
-    return known.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
-    )
+    return docs.select(
+        F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")
+    ).mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(
+    docs: DataFrame,
+    min_score: float = 0.4,
+    per_lang: int = 120,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language is known with a score of at least ``min_score``."""
+    small_batches(docs.sparkSession)
+    shared = fitted(docs, per_lang, id_col, text_col, lang_col)
+
+    def run(batches):
+        for batch in batches:
+            best, score = predictions(shared.value, batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array((best >= 0) & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def pieces_of(some: list[int], words: list[list[str]], most: int = 300_000):
