@@ -33,6 +33,8 @@ from .shingles import minhash, mixed, shingle_sets
 from .storage import materialize, small_batches
 
 HASHES, DEPTH, TREES, REGION = 64, 3, 21, 32
+#: Up to so many ids of candidates, counted, are broadcast to the scan of texts; more of them are joined by sort-merge.
+BROADCAST_IDS = 1_000_000
 
 
 def slices(texts: list[str], most: int = 2_000_000):
@@ -154,6 +156,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = materialize(docs.join(ids, "id", "left_semi").mapInPandas(to_sets, "id long, hashes binary"), "sets")
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("one")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("hashes").alias("two")), "b"
