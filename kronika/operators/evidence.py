@@ -241,7 +241,7 @@ def schedule_problems(declared: DataFrame, scheduled: DataFrame, prerequisites:
     )
     closure = need.where("other is null").select("plan", F.lit(3).alias("rank"), F.lit("missing_prerequisite").alias("problem"))
     order = need.where("other >= own").select("plan", F.lit(4).alias("rank"), F.lit("order").alias("problem"))
-    walk = W.partitionBy("plan").orderBy("position")
+    walk = W.partitionBy("plan").orderBy("position", "op")
     phase = placed.withColumn("last_phase", F.lag("phase").over(walk)).where("last_phase > phase").select("plan", F.lit(5).alias("rank"), F.lit("phase").alias("problem"))
     coverage = known.join(at, ["plan", "op"], "left_anti").select("plan", F.lit(6).alias("rank"), F.lit("coverage").alias("problem"))
     every = [duplicate, undeclared, closure, order, phase, coverage]

@@ -256,7 +256,7 @@ x AS (
   UNION ALL SELECT pl.plan, 2, 'undeclared' FROM pl LEFT JOIN de USING (plan, op) WHERE de.phase IS NULL
   UNION ALL SELECT pr.plan, CASE WHEN b.position IS NULL THEN 3 ELSE 4 END, CASE WHEN b.position IS NULL THEN 'missing_prerequisite' ELSE 'order' END
     FROM pr JOIN pl a ON a.plan = pr.plan AND a.op = pr.op LEFT JOIN pl b ON b.plan = pr.plan AND b.op = pr.needs WHERE b.position IS NULL OR b.position >= a.position
-  UNION ALL SELECT plan, 5, 'phase' FROM (SELECT pl.plan, phase, lag(phase) OVER (PARTITION BY pl.plan ORDER BY position) AS l FROM pl LEFT JOIN de USING (plan, op)) WHERE l > phase
+  UNION ALL SELECT plan, 5, 'phase' FROM (SELECT pl.plan, phase, lag(phase) OVER (PARTITION BY pl.plan ORDER BY position, op) AS l FROM pl LEFT JOIN de USING (plan, op)) WHERE l > phase
   UNION ALL SELECT de.plan, 6, 'coverage' FROM de ANTI JOIN pl USING (plan, op))
 SELECT de.plan, coalesce(arg_min(x.problem, x.rank), 'admitted') AS verdict FROM (SELECT DISTINCT plan FROM de) de LEFT JOIN x USING (plan) GROUP BY 1
 """
