@@ -13,8 +13,10 @@ the run of strings that choose it.
    repeats: there each string's suffix is ranked by a quarter, half and all of ``length`` bytes, sorted by pairs of the rank so far and the next
    part's; unique ones drop out each time, and at full length all but the earliest are removed.
 
-Ranks are 64-bit hashes of the bytes, compared within the rank before; at full length two independent ones.  Inside a task,
-samples that repeat an earlier run of that task are decided at once, which pre-aggregates frequent passages.
+Ranks are 64-bit hashes of the bytes, compared within the rank before; at full length two independent ones.  A task decides at
+once samples that repeat an earlier run of its own, which pre-aggregates frequent passages.  What is left of its samples travels
+packed, by cell of the seed; a seed with many different runs in a task is frequent and its runs travel as rows, as the
+strings of seeds with more than ``FREQUENT_RANKS`` ranks do, so that no seed is held by one task.
 
 Defined results: null texts are empty; texts shorter than ``length`` bytes lose nothing; a null id sorts first; rows that share an
 id count as one document for what is earlier, and an exact repeat of a row loses no more than the row; an empty table gives an empty
@@ -28,6 +30,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +38,10 @@ from .shingles import mixed, powers
 from .storage import materialize, small_batches
 
 SEED = 32
-#: Bytes that are worked on at once, and runs that a task remembers.
+#: Bytes that are worked on at once.
 CHUNK = 1 << 20
-KEPT_RUNS = 200_000
+#: Runs of one seed that are ranked in one task; the strings of more of them are ranked as rows.
+FREQUENT_RANKS = 2000
 NO_ID = -(1 << 63)
 _random = np.random.default_rng(77)
 VALUE = _random.integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
@@ -98,39 +102,131 @@ def chunks(text: bytes, length: int):
         yield i, text[i : i + CHUNK + length - 1]
 
 
-def sampled(docs: DataFrame, length: int) -> DataFrame:
-    """``g, c, doc, at, span, decided``: seed and run hashes of each sample; ``at`` packs variant and first string.
+#: A seed with so many different runs in one task is frequent: its runs travel as rows, which any number of tasks can share.
+FREQUENT = 8
+CELL_RUNS = 400_000
 
-    Rows that a task has decided have a random ``g``.
+
+class Found:
+    """The sampled runs of one task, as arrays."""
+
+    NAMES = ("g", "c", "doc", "at", "span")
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, doc: int, text: bytes, length: int) -> None:
+        variant = (zlib.crc32(text) & 0x7FFF) << 32
+        for offset, data in chunks(text, length):
+            first, last, g, c = sampled_runs(data, length)
+            self.parts.append((g, c, np.full(len(g), doc), first + offset + variant, (last - first).astype(np.int32)))
+
+    def size(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
+    def split(self, length: int):
+        """(rows decided, rows of frequent seeds, all other rows, seeds that are frequent)."""
+        g, c, doc, at, span = map(np.concatenate, zip(*self.parts))
+        p = at & 0xFFFFFFFF
+        order = np.lexsort((p, doc, c, g))
+        g, c, doc, at, span, p = (x[order] for x in (g, c, doc, at, span, p))
+        again = np.append(False, (g[1:] == g[:-1]) & (c[1:] == c[:-1]))
+        lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(g))))
+        later = again & ((doc != doc[lead]) | (p != p[lead]))
+        decided = joined_runs(doc[later], at[later], span[later])
+        g, c, doc, at, span = (x[~later] for x in (g, c, doc, at, span))
+        seeds, place, times = np.unique(g, return_inverse=True, return_counts=True)
+        many = times >= FREQUENT
+        hot = many[place]
+        return decided, tuple(x[hot] for x in (g, c, doc, at, span)), tuple(x[~hot] for x in (g, c, doc, at, span)), seeds[many]
+
+
+def joined_runs(doc: np.ndarray, at: np.ndarray, span: np.ndarray):
+    """Runs that follow each other in one text as one."""
+    order = np.lexsort((at, doc))
+    doc, at, span = doc[order], at[order], span[order].astype(np.int64)
+    if not len(doc):
+        return doc, at, span
+    new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + span[:-1] + 1))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], at[first], at[last] + span[last] - at[first]
+
+
+ROW = "kind int, cell int, g long, c long, doc long, at long, span long, packed binary"
+PACKED, NOTICE, FREQUENT_RUN, DECIDED = range(4)
+
+
+def rows_of(kind: int, n: int, **columns) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.full(n, kind), **{c: columns.get(c) for c in ("cell", "g", "c", "doc", "at", "span", "packed")}})
+
+
+def sampled(docs: DataFrame, length: int, cells: int) -> DataFrame:
+    """``ROW``: a task's sampled runs, packed by cell of their seed, those it has decided, and those of frequent seeds.
+
+    For a frequent seed its cell gets a notice, so that it knows that other runs share the seed.
     """
 
+    def cell_of(g: np.ndarray) -> np.ndarray:
+        return (mixed(g.view(np.uint64)) % np.uint64(cells)).astype(np.int32)
+
+    def emitted(found: Found):
+        decided, hot, rest, seeds = found.split(length)
+        spread = lambda x: (mixed(x.view(np.uint64)) % np.uint64(cells)).astype(np.int32)
+        yield rows_of(DECIDED, len(decided[0]), cell=spread(decided[1]), **dict(zip(("doc", "at", "span"), decided)))
+        yield rows_of(FREQUENT_RUN, len(hot[0]), cell=spread(hot[1]), **dict(zip(Found.NAMES, hot)))
+        yield rows_of(NOTICE, len(seeds), cell=cell_of(seeds), g=seeds)
+        cell = cell_of(rest[0])
+        order = np.argsort(cell, kind="stable")
+        cuts = np.searchsorted(cell[order], np.arange(cells + 1))
+        blobs, where = [], []
+        for i in np.flatnonzero(np.diff(cuts)):
+            own = order[cuts[i] : cuts[i + 1]]
+            blobs.append(b"".join(x[own].tobytes() for x in rest))
+            where.append(i)
+        yield rows_of(PACKED, len(where), cell=where, packed=blobs)
+
     def run(batches):
-        kept: dict[tuple[int, int], tuple[int, int]] = {}
+        found = Found()
         for batch in batches:
-            out = []
             for doc, text in zip(batch["doc"], batch["text"]):
-                text = text.encode()
-                variant = (zlib.crc32(text) & 0x7FFF) << 32
-                for offset, data in chunks(text, length):
-                    first, last, g, c = sampled_runs(data, length)
-                    done = np.zeros(len(g), bool)
-                    if len(kept) > KEPT_RUNS:
-                        kept.clear()
-                    for i, (key, p) in enumerate(zip(zip(g.tolist(), c.tolist()), (first + offset).tolist())):
-                        known = kept.get(key)
-                        if known is not None and known < (doc, p):
-                            done[i] = True
-                        else:
-                            kept[key] = (doc, p)
-                    apart = np.array([doc], np.int64).view(np.uint64) * BASE + first[done].astype(np.uint64)
-                    g[done] = mixed(c[done].view(np.uint64) + mixed(apart)).view(np.int64)
-                    out.append((g, c, np.full(len(g), doc), first + offset + variant, (last - first).astype(np.int32), done))
-            if out:
-                yield pd.DataFrame(dict(zip(("g", "c", "doc", "at", "span", "decided"), map(np.concatenate, zip(*out)))))
-
-    return docs.where(F.octet_length("text") >= length).mapInPandas(
-        run, "g long, c long, doc long, at long, span int, decided boolean"
-    )
+                found.add(doc, text.encode(), length)
+            if found.size() > 4_000_000:
+                yield from emitted(found)
+                found = Found()
+        if found.parts:
+            yield from emitted(found)
+
+    return docs.where(F.octet_length("text") >= length).mapInPandas(run, ROW)
+
+
+def unpacked(blob: bytes):
+    n = len(blob) // 36
+    cuts = np.cumsum([0, 8 * n, 8 * n, 8 * n, 8 * n, 4 * n])
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
+    return tuple(np.frombuffer(blob[a:b], k) for a, b, k in zip(cuts, cuts[1:], kinds))
+
+
+def living(docs: DataFrame, length: int, cells: int) -> DataFrame:
+    """``g, c, doc, at, span, decided`` of runs whose seed is not unique in the corpus."""
+
+    def run(batches):
+        packed, seeds = [], []
+        for batch in batches:
+            own = batch["kind"]
+            packed += [unpacked(b) for b in batch.loc[own == PACKED, "packed"]]
+            seeds += batch.loc[own == NOTICE, "g"].tolist()
+            passing = batch.loc[(own == FREQUENT_RUN) | (own == DECIDED)]
+            if len(passing):
+                yield passing.assign(decided=passing["kind"] == DECIDED)[["g", "c", "doc", "at", "span", "decided"]]
+        if packed:
+            g, c, doc, at, span = map(np.concatenate, zip(*packed))
+            _, place, times = np.unique(g, return_inverse=True, return_counts=True)
+            keep = (times[place] > 1) | np.isin(g, np.array(seeds, np.int64))
+            yield pd.DataFrame({"g": g[keep], "c": c[keep], "doc": doc[keep], "at": at[keep], "span": span[keep].astype(np.int64), "decided": False})
+
+    met = sampled(docs, length, cells).repartition(cells, "cell")
+    return met.mapInPandas(run, "g long, c long, doc long, at long, span long, decided boolean")
 
 
 def place(column: str = "at"):
@@ -138,26 +234,24 @@ def place(column: str = "at"):
 
 
 def repeats(docs: DataFrame, length: int) -> DataFrame:
-    """``doc, variant, p, span, sure`` of runs: removed whole if ``sure``, else strings to be ranked."""
-    runs = sampled(docs, length)
-    again = runs.where(~F.col("decided")).groupBy("g").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    live = materialize(
-        runs.join(again.hint("merge"), "g", "left").where(F.col("decided") | F.col("times").isNotNull()).drop("times"), "runs"
-    )
+    """``doc, variant, g, p, span, sure, frequent`` of runs: removed whole if ``sure``, else strings to be ranked."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = max(8, int(size * 0.03 / CELL_RUNS) + 1)
+    live = materialize(living(docs, length, cells), "runs")
     open_ = live.where(~F.col("decided"))
     ranks = materialize(
         open_.groupBy("g", "c").agg(F.min(F.struct("doc", place().alias("p"))).alias("earliest")), "ranks"
     )
-    shared = ranks.groupBy("g").agg((F.count(F.lit(1)) > 1).alias("shared"))
+    shared = ranks.groupBy("g").agg(F.count(F.lit(1)).alias("ranks"))
     rows = (
         open_.join(ranks, ["g", "c"])
         .join(shared, "g")
         .withColumn("sure", (F.col("doc") != F.col("earliest.doc")) | (place() != F.col("earliest.p")))
-        .where("sure or shared")
-        .select("doc", "at", "span", "sure")
-        .unionByName(live.where("decided").select("doc", "at", "span", F.lit(True).alias("sure")))
+        .where("sure or ranks > 1")
+        .select("doc", "at", "g", "span", "sure", (F.col("ranks") > FREQUENT_RANKS).alias("frequent"))
+        .unionByName(live.where("decided").select("doc", "at", "g", "span", F.lit(True).alias("sure"), F.lit(False).alias("frequent")))
     )
-    return rows.select("doc", F.shiftright("at", 32).cast("int").alias("variant"), place().alias("p"), "span", "sure")
+    return rows.select("doc", F.shiftright("at", 32).cast("int").alias("variant"), place().alias("p"), "g", "span", "sure", "frequent")
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -184,39 +278,115 @@ def summary(text: bytes, ranges: list[tuple[int, int]]) -> dict:
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def strings(affected: DataFrame, length: int) -> DataFrame:
-    """``doc, variant, p, q0, q1, q2, q3, check``: hashes of the quarters of every open string."""
-    cuts = [length * i // 4 for i in range(5)]
+def compressed(text: bytes) -> bytes:
+    return zstandard.compress(text, 1)
+
+
+def contexts(waiting: DataFrame, length: int) -> DataFrame:
+    """``doc, variant, g, p, context, frequent``: the bytes of every open run."""
 
     def run(batches):
         for batch in batches:
+            out = []
             for doc, variant, text, spans in zip(batch["doc"], batch["variant"], batch["text"], batch["open"]):
-                text = text.encode()
-                p = np.unique(np.concatenate([np.arange(s["p"], s["p"] + s["span"] + 1) for s in spans]))
-                for part in np.split(p, np.flatnonzero(np.diff(p) > CHUNK // 4) + 1):
-                    for i in range(0, len(part), CHUNK // 4):
-                        some = part[i : i + CHUNK // 4]
-                        data = text[some[0] : some[-1] + length]
-                        at, hashed = some - some[0], Bytes(data)
-                        quarters = {f"q{j}": hashed.slices(at + cuts[j], at + cuts[j + 1]).view(np.int64) for j in range(4)}
-                        other = Bytes(data, 1).slices(at, at + length).view(np.int64)
-                        yield pd.DataFrame({"doc": doc, "variant": variant, "p": some, **quarters, "check": other})
-
-    return affected.select("doc", "variant", "text", "open").mapInPandas(
-        run, "doc long, variant int, p long, q0 long, q1 long, q2 long, q3 long, check long"
+                text = zstandard.decompress(text)
+                for s in spans:
+                    out.append((doc, variant, s["g"], s["p"], text[s["p"] : s["p"] + s["span"] + length], s["frequent"]))
+            yield pd.DataFrame(out, columns=["doc", "variant", "g", "p", "context", "frequent"])
+
+    return waiting.select("doc", "variant", "text", "open").mapInPandas(
+        run, "doc long, variant int, g long, p long, context binary, frequent boolean"
     )
 
 
-def doubled(rows: DataFrame) -> DataFrame:
-    """``doc, variant, p`` of strings that also start earlier: prefixes double, unique ones drop out."""
+def every_string(rows: pd.DataFrame, length: int):
+    """(index of its row, first byte, Bytes) of all strings of the rows' contexts, in order."""
+    sizes = rows["context"].map(len).to_numpy(np.int64)
+    counts = sizes - length + 1
+    starts = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(rows)), counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+    return row, at, at - starts[row], b"".join(rows["context"])
+
+
+def later_strings(rows: DataFrame, length: int) -> DataFrame:
+    """``doc, variant, a, b``: ranges of strings that also start earlier, for runs of seeds that one task can hold.
+
+    Rows come sorted by seed, document and place; a task works on whole seeds, a batch of them at a time.
+    """
+    cuts = [length * i // 4 for i in range(5)]
+
+    def ranked(rows: pd.DataFrame) -> pd.DataFrame:
+        row, at, inside, data = every_string(rows, length)
+        doc, p = rows["doc"].to_numpy()[row], rows["p"].to_numpy()[row] + inside
+        left = np.arange(len(at))
+        hashed = Bytes(data)
+        rank = rows["g"].to_numpy()[row]
+        for quarter in range(4):  # prefixes grow; unique ones drop out
+            part = hashed.slices(at[left] + cuts[quarter], at[left] + cuts[quarter + 1])
+            rank = mixed(rank.view(np.uint64) * BASE + part).view(np.int64)
+            if quarter % 2:
+                _, group, times = np.unique(rank, return_inverse=True, return_counts=True)
+                left, rank = left[times[group] > 1], rank[times[group] > 1]
+        check = Bytes(data, 1).slices(at[left], at[left] + length).view(np.int64)
+        order = np.lexsort((p[left], doc[left], check, rank))
+        left, rank, check = left[order], rank[order], check[order]
+        again = np.append(False, (rank[1:] == rank[:-1]) & (check[1:] == check[:-1])) if len(left) else np.empty(0, bool)
+        lead = left[np.maximum.accumulate(np.where(again, 0, np.arange(len(left))))] if len(left) else left
+        gone = np.sort(left[again & ((doc[left] != doc[lead]) | (p[left] != p[lead]))])
+        if not len(gone):
+            return pd.DataFrame({"doc": [], "variant": [], "a": [], "b": []})
+        new = np.append(True, (row[gone[1:]] != row[gone[:-1]]) | (gone[1:] != gone[:-1] + 1))
+        first, last = gone[new], gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1]
+        return pd.DataFrame({"doc": doc[first], "variant": rows["variant"].to_numpy()[row[first]], "a": p[first], "b": p[last] + length})
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            if sum(map(len, held)) < 4000 or batch["g"].iloc[0] == batch["g"].iloc[-1]:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            whole = rows["g"] != rows["g"].iloc[-1]
+            held = [rows[~whole]]
+            yield ranked(rows[whole].reset_index(drop=True))
+        if held:
+            yield ranked(pd.concat(held, ignore_index=True))
+
+    return (
+        rows.select("doc", "variant", "g", "p", "context")
+        .repartition("g")
+        .sortWithinPartitions("g", "doc", "p")
+        .mapInPandas(run, "doc long, variant int, a long, b long")
+    )
+
+
+def later_rows(rows: DataFrame, length: int) -> DataFrame:
+    """The same for seeds that occur in very many runs: every string is a row, and prefixes double by sorts."""
+    cuts = [length * i // 4 for i in range(5)]
+
+    def quarters(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            row, at, inside, data = every_string(batch, length)
+            hashed = Bytes(data)
+            parts = {f"q{i}": hashed.slices(at + cuts[i], at + cuts[i + 1]).view(np.int64) for i in range(4)}
+            check = Bytes(data, 1).slices(at, at + length).view(np.int64)
+            yield pd.DataFrame({"doc": batch["doc"].to_numpy()[row], "variant": batch["variant"].to_numpy()[row], "p": batch["p"].to_numpy()[row] + inside, **parts, "check": check})
+
+    rows = rows.select("doc", "variant", "p", "context").mapInPandas(
+        quarters, "doc long, variant int, p long, q0 long, q1 long, q2 long, q3 long, check long"
+    )
     for prefix in (["q0"], ["q0", "q1"]):
         times = rows.groupBy(prefix).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
         rows = rows.join(times.drop("times"), prefix, "left_semi")
-    rows = materialize(rows, "strings")
     whole = ["q0", "q1", "q2", "q3", "check"]
     earliest = rows.groupBy(whole).agg(F.min(F.struct("doc", "p")).alias("earliest"), F.count(F.lit(1)).alias("times"))
     later = rows.join(earliest.where("times > 1"), whole).where("doc <> earliest.doc or p <> earliest.p")
-    return later.select("doc", "variant", "p")
+    return later.select("doc", "variant", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,40 +400,49 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     found = repeats(docs, length)
     listed = found.groupBy("doc", "variant").agg(
         F.collect_list(F.when(F.col("sure"), F.struct("p", "span"))).alias("sure"),
-        F.collect_list(F.when(~F.col("sure"), F.struct("p", "span"))).alias("open"),
+        F.collect_list(F.when(~F.col("sure"), F.struct("g", "p", "span", "frequent"))).alias("open"),
     )
-    keyed = docs.withColumn("variant", F.crc32(F.col("text").cast("binary")).bitwiseAND(0x7FFF).cast("int"))
+
+    def keyed(batches):
+        for batch in batches:
+            texts = [t.encode() for t in batch["text"]]
+            yield pd.DataFrame({"doc": batch["doc"], "variant": [zlib.crc32(t) & 0x7FFF for t in texts], "text": [*map(compressed, texts)]})
 
     def first_pass(batches):
         for batch in batches:
             rows = []
             for text, sure, open_ in zip(batch["text"], batch["sure"], batch["open"]):
-                data = text.encode()
                 p = np.array([s["p"] for s in sure], np.int64) if sure is not None else np.empty(0, np.int64)
                 span = np.array([s["span"] for s in sure], np.int64) if sure is not None else p
                 ranges = merged(p, p + span + length)
-                waits = open_ is not None and len(open_) > 0
-                rows.append({**summary(data, [] if waits else ranges), "text": text if waits else None, "open": open_ if waits else None, "ranges": [{"a": a, "b": b} for a, b in ranges] if waits else None})
-            yield pd.concat([batch[["doc", "variant"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
-
+                if open_ is not None and len(open_):
+                    rows.append({"text": text, "open": open_, "ranges": [{"a": a, "b": b} for a, b in ranges]})
+                else:
+                    rows.append({**summary(zstandard.decompress(text), ranges), "text": None, "open": None, "ranges": None})
+            got = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "open", "ranges"])
+            yield pd.concat([batch[["doc", "variant"]].reset_index(drop=True), got], axis=1)
+
+    texts = docs.select("doc", "text").mapInPandas(keyed, "doc long, variant int, text binary")
     state = materialize(
-        keyed.join(listed, ["doc", "variant"], "left").mapInPandas(
+        texts.join(listed, ["doc", "variant"], "left").mapInPandas(
             first_pass,
-            f"doc long, variant int, {RESULT}, text string, open array<struct<p:long,span:int>>, ranges array<struct<a:long,b:long>>",
+            f"doc long, variant int, {RESULT}, text binary, "
+            "open array<struct<g:long,p:long,span:long,frequent:boolean>>, ranges array<struct<a:long,b:long>>",
         ),
         "first-pass",
     )
     waiting = state.where("text is not null")
-    later = doubled(strings(waiting, length)).distinct().groupBy("doc", "variant").agg(F.collect_list("p").alias("later"))
+    strings = materialize(contexts(waiting, length), "contexts")
+    gone = later_strings(strings.where("not frequent"), length).unionByName(later_rows(strings.where("frequent"), length))
+    later = gone.groupBy("doc", "variant").agg(F.collect_list(F.struct("a", "b")).alias("later"))
 
     def second_pass(batches):
         for batch in batches:
             rows = []
             for text, ranges, later in zip(batch["text"], batch["ranges"], batch["later"]):
-                p = np.array(later if later is not None else [], np.int64)
-                a = np.array([r["a"] for r in ranges], np.int64)
-                b = np.array([r["b"] for r in ranges], np.int64)
-                rows.append(summary(text.encode(), merged(np.append(a, p), np.append(b, p + length))))
+                both = [*ranges, *(later if later is not None else [])]
+                a, b = (np.array([r[x] for r in both], np.int64) for x in "ab")
+                rows.append(summary(zstandard.decompress(text), merged(a, b)))
             yield pd.concat([batch[["doc"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
 
     settled = waiting.select("doc", "variant", "text", "ranges").join(later, ["doc", "variant"], "left")
