@@ -92,7 +92,7 @@ def pairs(text: str):
         yield m["name"].strip("\"'"), parts
 
 
-def literal_spans(text: str, threshold: float = 5.5) -> set[tuple[int, int]]:
+def literal_spans(text: str, threshold: float = 5.0) -> set[tuple[int, int]]:
     """Spans of literals that reach a sensitive name."""
     constants: dict[str, list[tuple[int, int, str]]] = {}
     found: dict[tuple[int, int], float] = {}
@@ -126,12 +126,12 @@ def written(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in ordered)
 
 
-def scan_text(text: str, threshold: float = 5.5) -> tuple[list, list]:
+def scan_text(text: str, threshold: float = 5.0) -> tuple[list, list]:
     """(base spans, spans of literals) as (start, end, kind)."""
     return base_spans(text), [(a, b, "literal") for a, b in literal_spans(text, threshold)]
 
 
-def scan(docs: DataFrame, threshold: float = 5.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, threshold: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_literal, base_sha256, spans`` of every row."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
