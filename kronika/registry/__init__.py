@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence, folds, scans
+from . import catalog, evidence, folds, scans, streams
 
-QUERIES = scans.QUERIES | folds.QUERIES | evidence.QUERIES
-ORACLES = scans.ORACLES | folds.ORACLES | evidence.ORACLES
+QUERIES = scans.QUERIES | folds.QUERIES | evidence.QUERIES | catalog.QUERIES | streams.QUERIES
+ORACLES = scans.ORACLES | folds.ORACLES | evidence.ORACLES | catalog.ORACLES | streams.ORACLES
