@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.coordinates import all_of, first_of
+from ..sources.tables import materialize
 
 
 def drift(expected: DataFrame, observed: DataFrame, key: str, digest: str, labels=("missing", "extra", "mismatch")) -> DataFrame:
@@ -134,16 +135,19 @@ def transitions(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def supersession(rows: DataFrame, most: int = 16) -> DataFrame:
     """``row_id, finding`` over ``row_id, supersedes, lifecycle``: dangling targets, cycles and lifecycles out of range.
 
-    Every row has at most one outgoing edge; pointers double each round, so ``most`` rounds cover chains of 2^most.
+    Every row has at most one outgoing edge; pointers double each round, so ``most`` rounds cover chains of 2^most.  ``cycle``
+    is reported of rows on a cycle and of rows that lead into one.  Each round is written and read again.
     """
     ids = rows.select(F.col("row_id").alias("target"), F.lit(True).alias("known"))
     linked = rows.where("supersedes is not null").join(ids, F.col("supersedes") == F.col("target"), "left")
     dangling = linked.where("known is null").select("row_id", F.lit("dangling_supersedes").alias("finding"))
     lifecycle = rows.where("lifecycle not between 0 and 3").select("row_id", F.lit("unknown_lifecycle").alias("finding"))
-    jump = linked.where("known").select("row_id", F.col("supersedes").alias("to"))
+    jump = materialize(linked.where("known").select("row_id", F.col("supersedes").alias("to")))
     for _ in range(most):
+        if jump.isEmpty():
+            break
         hop = jump.select(F.col("row_id").alias("to"), F.col("to").alias("further"))
-        jump = jump.join(hop, "to").select("row_id", F.col("further").alias("to"))
+        jump = materialize(jump.join(hop, "to").select("row_id", F.col("further").alias("to")))
     cycles = jump.select("row_id", F.lit("cycle").alias("finding"))
     return dangling.unionByName(lifecycle).unionByName(cycles)
 
@@ -297,8 +301,11 @@ def canonical_order(declared: DataFrame, prerequisites: DataFrame, rounds: int)
     """
     placed = declared.join(prerequisites, "op", "left_anti").select("op", F.lit(0).alias("level"))
     for level in range(1, rounds + 1):
+        placed = materialize(placed)
         waiting = declared.join(placed, "op", "left_anti")
         blocked = prerequisites.join(placed.select(F.col("op").alias("needs")), "needs", "left_anti").select("op").distinct()
-        ready = waiting.join(blocked, "op", "left_anti").select("op", F.lit(level).alias("level"))
+        ready = materialize(waiting.join(blocked, "op", "left_anti").select("op", F.lit(level).alias("level")))
+        if ready.isEmpty():
+            break
         placed = placed.unionByName(ready)
     return declared.join(placed, "op", "left").select("op", "phase", "level")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import importing, maintenance, projection, sessions, visibility
 from ..sources.journal import events_journal as journal
 from ..sources.journal import talks_journal
+from ..sources.tables import new_path as stored
 from .base import Registry, cancelled, sql
 
 R = Registry()
@@ -222,8 +223,6 @@ SEG = "s AS (SELECT *, global_sequence // 250 AS segment FROM j)"
 
 @R.add("h1_merge", sql("SELECT global_sequence, event_hash FROM j"))
 def h1(s, d):
-    from .scans import stored
-
     path = stored(s)
     maintenance.merge(journal(s, d).select("global_sequence", "event_hash"), path, 2)
     return s.read.parquet(path)

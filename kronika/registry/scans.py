@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import clocks, coordinates, kinds, payloads
 from ..operators import lineage, query, visibility
 from ..plans.region import Region
 from ..sources import journal as source
 from ..sources.journal import events_journal as journal
+from ..sources.tables import new_path as stored
 from .base import Registry, cancelled, cancelled_by_lane, sql
 
 R = Registry()
@@ -46,23 +43,6 @@ def a5(s, d):
     return source.open_journal(s, path).select("global_sequence", "event_id", "entity", "kind", "clock", "event_hash", "prev_hash")
 
 
-_own: list[str] = []
-
-
-def stored(spark) -> str:
-    """A new path in the shared folder; one of our own where none is set and this machine runs Spark alone."""
-    import atexit
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="kronika-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        base = _own[0]
-    return f"{base.rstrip('/')}/journal-{uuid.uuid4().hex}"
-
-
 @R.add("a9_reactions", sql("SELECT global_sequence, entity, 61442 AS kind, event_id AS causation_id, correlation_id FROM j WHERE kind = 8194"))
 def a9(s, d):
     bought = journal(s, d).where(F.col("kind") == 0x2002)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..plans.region import Region
 from ..sources.journal import events_journal as journal
 from ..streaming import cursors
+from ..sources.tables import new_path as stored
 from .base import Registry, sql
-from .scans import stored
 
 R = Registry()
 SCHEMA = "global_sequence long, event_id string, correlation_id string, entity string, kind int, payload string, clock int"
