@@ -36,11 +36,25 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, top: float):
         self.ids, self.points, self.top = ids, points, top
-        rest = np.sqrt(np.maximum(top * top - np.einsum("ij,ij->i", points, points), 0))
-        self.lifted = np.column_stack([points, rest])
+        self._lift()
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(ids)))
 
+    def _lift(self) -> None:
+        rest = np.sqrt(np.maximum(self.top * self.top - np.einsum("ij,ij->i", self.points, self.points), 0))
+        self.lifted = np.column_stack([self.points, rest])
+
+    def __getstate__(self):
+        """Without what can be computed again; single precision where that is all there is."""
+        single = self.points.astype(np.float32)
+        points = single if np.array_equal(single, self.points) else self.points
+        return self.ids, points, self.top, self.nodes, self.root
+
+    def __setstate__(self, state) -> None:
+        self.ids, points, self.top, self.nodes, self.root = state
+        self.points = points.astype(float)
+        self._lift()
+
     def _build(self, rows: np.ndarray) -> int:
         at = len(self.nodes)
         self.nodes.append(())
@@ -127,7 +141,7 @@ def search(
     k: int = 20,
     factor: float = 1.0,
     shard_rows: int = 8192,
-    block: int = 256,
+    block: int = 1024,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
