@@ -104,7 +104,8 @@ def chunks(text: bytes, length: int):
 
 #: A seed with so many different runs in one task is frequent: its runs travel as rows, which any number of tasks can share.
 FREQUENT = 8
-CELL_RUNS = 400_000
+#: Sampled runs that a task ranks by seed, about, and cells that make up its share, so that shares come out even.
+TASK_RUNS, CELLS = 400_000, 16
 
 
 class Found:
@@ -225,7 +226,7 @@ def living(docs: DataFrame, length: int, cells: int) -> DataFrame:
             keep = (times[place] > 1) | np.isin(g, np.array(seeds, np.int64))
             yield pd.DataFrame({"g": g[keep], "c": c[keep], "doc": doc[keep], "at": at[keep], "span": span[keep].astype(np.int64), "decided": False})
 
-    met = sampled(docs, length, cells).repartition(cells, "cell")
+    met = sampled(docs, length, cells).repartition(cells // CELLS, "cell")
     return met.mapInPandas(run, "g long, c long, doc long, at long, span long, decided boolean")
 
 
@@ -236,7 +237,7 @@ def place(column: str = "at"):
 def repeats(docs: DataFrame, length: int) -> DataFrame:
     """``doc, variant, g, p, span, sure, frequent`` of runs: removed whole if ``sure``, else strings to be ranked."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = max(8, int(size * 0.03 / CELL_RUNS) + 1)
+    cells = CELLS * max(8, int(size * 0.03 / TASK_RUNS) + 1)
     live = materialize(living(docs, length, cells), "runs")
     open_ = live.where(~F.col("decided"))
     ranks = materialize(
