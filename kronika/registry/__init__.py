@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, evidence, folds, scans, streams
+from . import catalog, evidence, folds, scans, streams, writes
 
-QUERIES = scans.QUERIES | folds.QUERIES | evidence.QUERIES | catalog.QUERIES | streams.QUERIES
-ORACLES = scans.ORACLES | folds.ORACLES | evidence.ORACLES | catalog.ORACLES | streams.ORACLES
+QUERIES = scans.QUERIES | folds.QUERIES | evidence.QUERIES | catalog.QUERIES | streams.QUERIES | writes.QUERIES
+ORACLES = scans.ORACLES | folds.ORACLES | evidence.ORACLES | catalog.ORACLES | streams.ORACLES | writes.ORACLES

@@ -99,3 +99,15 @@ def first_deliveries(spark: SparkSession, path: str, schema: str, key: str, chec
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     drain(spark, rows, checkpoint, handle)
+
+
+def with_restarts(run: Callable[[], None], budget: int) -> int:
+    """Run a worker's loop again after an error, at most ``budget`` times; the failed batch is replayed.  Returns the restarts used."""
+    for used in range(budget + 1):
+        try:
+            run()
+            return used
+        except Exception:
+            if used == budget:
+                raise
+    return budget

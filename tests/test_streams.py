@@ -47,3 +47,23 @@ def test_watched_projection_emits_rising_generations(spark, tmp_path):
     emitted = spark.read.parquet(out)
     assert emitted.count() == 5
     assert {(r.entity, r.generation, r.last) for r in cursors.newest(emitted).collect()} == {("user:0", 3, 6), ("user:1", 3, 7), ("user:2", 2, 5)}
+
+
+def test_worker_replays_the_failed_batch(spark, tmp_path):
+    path, check, out = (str(tmp_path / n) for n in ("j", "c", "o"))
+    add(spark, path, range(6))
+    failures = [2]
+
+    def handle(batch, number):
+        if failures[0]:
+            failures[0] -= 1
+            raise RuntimeError("handler")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    run = lambda: cursors.drain(spark, cursors.source(spark, path, SCHEMA), check, handle)
+    assert cursors.with_restarts(run, 3) == 2
+    assert spark.read.parquet(out).count() == 6
+    failures[0] = 5
+    add(spark, path, range(6, 8))
+    with pytest.raises(Exception):
+        cursors.with_restarts(run, 1)
