@@ -5,7 +5,6 @@ import random
 import zlib
 
 import numpy as np
-import pytest
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
