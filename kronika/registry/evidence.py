@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..operators import evidence, lineage, projection, query
 from ..plans.region import Region
@@ -29,9 +28,6 @@ def d6(s, d):
     return evidence.drift(docs, labels, "row_id", "h")
 
 
-SEGMENTS = "SELECT l_orderkey // 64 AS segment_id, count(*) AS n, sum(l_linenumber) AS total FROM lineitem WHERE l_orderkey % 64 <> {skip} GROUP BY 1"
-
-
 @R.add("d7_restore_proof", "SELECT coalesce(a.segment_id, b.segment_id) AS segment_id, CASE WHEN b.segment_id IS NULL THEN 'missing' WHEN a.segment_id IS NULL THEN 'unexpected' ELSE 'digest_mismatch' END AS finding FROM (SELECT l_orderkey // 64 AS segment_id, sum(l_linenumber) AS t FROM lineitem WHERE l_orderkey % 640 < 576 GROUP BY 1) a FULL JOIN (SELECT l_orderkey // 64 AS segment_id, sum(l_linenumber) AS t FROM lineitem WHERE l_orderkey % 640 >= 64 AND l_orderkey % 97 <> 0 GROUP BY 1) b ON a.segment_id = b.segment_id WHERE a.segment_id IS NULL OR b.segment_id IS NULL OR a.t IS DISTINCT FROM b.t")
 def d7(s, d):
     rows = lineitem(s, d).select("l_orderkey", F.expr("l_orderkey div 64").alias("segment_id"), "l_linenumber")
