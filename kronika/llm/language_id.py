@@ -248,7 +248,7 @@ def sample(docs: DataFrame, per_lang: int, seed: int = 5) -> list[tuple[str, str
     counts = ids.groupBy("lang").count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang + 50) / F.col("count"))
-    few = ids.join(F.broadcast(counts), "lang").where(draw < share).withColumn("draw", draw)
+    few = ids.join(counts, "lang").where(draw < share).withColumn("draw", draw)
     nth = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))
     chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("doc_id").distinct()
     rows = docs.where("lang is not null").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
