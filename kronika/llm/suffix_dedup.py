@@ -40,8 +40,8 @@ from .storage import materialize, small_batches
 SEED = 32
 #: Bytes that are worked on at once.
 CHUNK = 1 << 20
-#: Runs of one seed that are ranked in one task; the strings of more of them are ranked as rows.
-FREQUENT_RANKS = 2000
+#: Runs of one seed that are ranked in one task, in under 100 MB; the strings of more of them are ranked as rows.
+FREQUENT_RANKS = 20_000
 NO_ID = -(1 << 63)
 _random = np.random.default_rng(77)
 VALUE = _random.integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
