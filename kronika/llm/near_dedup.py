@@ -2,14 +2,15 @@
 
 A document is the set of its distinct word shingles.  Documents with equal sets are one node.  Each of ``TREES`` trees orders the
 nodes by the signature, read from another place on; nodes whose orders share a prefix are a region.  Regions of at most ``REGION``
-nodes give all their pairs; in larger ones every node is paired with the least of the region, and the region is split again
-by a prefix twice as long, so that depth adapts to how crowded a place is.  Pairs that are similar enough by their
-signatures are confirmed on the full sets, and links give components.
+nodes give all their pairs; in larger ones every node is paired with the region's least node and with its centre, and the region is
+split again by a prefix twice as long, so that depth adapts to how crowded a place is.  The centre is the node nearest to the
+values that most nodes of the region share: among near copies the text that they were made from, with which each links though
+two copies may not.  Pairs that are similar enough by their signatures are confirmed on the full sets, and links give components.
 
 At similarity 0.85 a link shares no prefix of three in any of 21 trees with probability 2e-9 (0.8: 3e-7); the cut on
 signatures lies 4.5 standard deviations below the threshold.  Nothing is capped.  A pair inside a region that stays
-crowded at every depth is not met itself; it is in one component when both ends link with the least node of one of
-its regions, which holds for groups of near copies.
+crowded at every depth is not met itself; it is in one component when both ends link with the centre or the least node of
+one of their regions, which holds for groups of near copies.
 
 Sets hold 64-bit hashes of shingles.
 
@@ -32,7 +33,11 @@ from .components import components
 from .shingles import minhash, mixed, shingle_sets
 from .storage import materialize, small_batches
 
-HASHES, DEPTH, TREES, REGION = 64, 3, 21, 32
+HASHES, DEPTH, TREES, REGION = 128, 3, 21, 32
+#: Up to so many crowded regions, counted, their common signatures are broadcast (10 MB); more of them are joined by sort-merge.
+BROADCAST_REGIONS = 20_000
+#: Regions whose votes a task holds at once.
+HELD_REGIONS = 20_000
 #: Up to so many ids of candidates, counted, are broadcast to the scan of texts; more of them are joined by sort-merge.
 BROADCAST_IDS = 1_000_000
 
@@ -104,6 +109,83 @@ def next_level(crowded: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     return rows.select("id", "tree", "sig").mapInPandas(run, "id long, tree int, key long")
 
 
+def cast(held: dict, key: int, values: np.ndarray, votes: np.ndarray) -> None:
+    """Adds votes for values, place by place: equal ones add up, others cancel, so that a majority is what remains."""
+    if key not in held:
+        held[key] = values, votes
+        return
+    had, n = held[key]
+    left = np.where(had == values, n + votes, n - votes)
+    held[key] = np.where(left < 0, values, had), np.abs(left)
+
+
+def polled(held: dict) -> pd.DataFrame:
+    values, votes = ([x[i].tobytes() for x in held.values()] for i in (0, 1))
+    return pd.DataFrame({"key": [*held], "common": values, "votes": votes})
+
+
+def common_signatures(crowded: DataFrame) -> DataFrame:
+    """``key, common, votes``: what most nodes of each region have at each place; ``crowded`` has ``sig, keys``.
+
+    Votes are cast within each task first, so that a region sends one row from each.
+    """
+
+    def within(batches):
+        held: dict = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            sigs = as_matrix(batch["sig"])
+            keys = np.concatenate(batch["keys"].to_list())
+            rows = np.repeat(np.arange(len(batch)), batch["keys"].map(len))
+            order = np.argsort(keys, kind="stable")
+            found, first = np.unique(keys[order], return_index=True)
+            for key, own in zip(found.tolist(), np.split(order, first[1:])):
+                some = sigs[rows[own]]
+                middle = np.partition(some, len(some) // 2, axis=0)[len(some) // 2]  # a majority is the median
+                votes = np.maximum(2 * (some == middle).sum(0) - len(some), 0).astype(np.int32)
+                cast(held, key, middle, votes)
+            if len(held) > HELD_REGIONS:
+                yield polled(held)
+                held = {}
+        yield polled(held)
+
+    def across(batches):
+        held: dict = {}
+        for batch in batches:
+            for key, values, votes in zip(batch["key"], batch["common"], batch["votes"]):
+                cast(held, key, np.frombuffer(values, np.uint32), np.frombuffer(votes, np.int32))
+        yield polled(held)
+
+    schema = "key long, common binary, votes binary"
+    return crowded.select("sig", "keys").mapInPandas(within, schema).repartition("key").mapInPandas(across, schema)
+
+
+def to_centres(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b``: each node of crowded regions (``id, key``) with the node nearest to its region's common signature."""
+
+    def agreement(batches):
+        for batch in batches:
+            alike = (as_matrix(batch["sig"]) == as_matrix(batch["common"])).sum(1) if len(batch) else np.empty(0, int)
+            yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "alike": alike})
+
+    keyed = crowded.groupBy("id").agg(F.collect_list("key").alias("keys"))  # one key a tree
+    placed = materialize(keyed.join(nodes.select("id", "sig"), "id"), "crowded")
+    common = materialize(common_signatures(placed), "common").select("key", "common")
+    few = common.count() <= BROADCAST_REGIONS
+    sized = F.broadcast if few else lambda df: df
+    met = placed.select("id", "sig", F.explode("keys").alias("key")).join(sized(common), "key")
+    centres = (
+        met.select("key", "id", "sig", "common")
+        .mapInPandas(agreement, "key long, id long, alike long")
+        .groupBy("key")
+        .agg(F.max(F.struct("alike", (-F.col("id")).alias("less"))).alias("best"))
+        .select("key", (-F.col("best.less")).alias("centre"))
+    )
+    pairs = crowded.select("key", "id").join(sized(centres), "key").where("id <> centre")
+    return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """``a, b`` with a < b: pairs of nodes that meet in a region of some tree, once each."""
     found: DataFrame | None = None
@@ -118,7 +200,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
         new = pairs.select("a", "b").unionByName(stars)
         found = new if found is None else found.unionByName(new)
         depth *= 2
-        if depth > HASHES or crowded.isEmpty():
+        if crowded.isEmpty():
+            return found.distinct()
+        found = found.unionByName(to_centres(crowded, nodes))
+        if depth > HASHES:
             return found.distinct()
         level = next_level(crowded, nodes, depth)
 

@@ -99,6 +99,27 @@ def test_crowded_regions(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 150
 
 
+def test_copies_of_a_text_that_is_not_the_least(spark):
+    """Copies link with the text that they were made from, not with each other, in regions that stay crowded."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=300)
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        for at in rng.sample(range(300), 4):
+            copy[at] = rng.choice(words)
+        texts.append(copy)
+    texts.insert(250, base)
+    sets = [sets_by_hand(" ".join(t)) for t in texts]
+    alike = [len(s & sets[250]) / len(s | sets[250]) >= 0.85 for s in sets]
+    found = near_dedup.near_duplicates(docs_of(spark, [(i, " ".join(t), "a") for i, t in enumerate(texts)]), percent=85)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    linked = [i for i, near in enumerate(alike) if near]
+    assert len(linked) > 380
+    assert {got[i] for i in linked} == {linked[0]}
+
+
 def test_shingle_hashes():
     texts = ["a b c d e f a b c d e", "", " x ", "A B C D E", "a b c d e"]
     sets = shingles.shingle_sets(texts)
