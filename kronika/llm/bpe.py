@@ -31,6 +31,8 @@ from .storage import small_batches
 #: Pieces a worker keeps between batches, and pieces that go to DuckDB at once.
 KEPT_PIECES = 400_000
 PIECES_AT_ONCE = 20_000
+#: Pieces of more bytes are contracted at all places of their least rank in each round.
+LONG = 200
 
 ENCODE = """
 WITH RECURSIVE steps AS (
@@ -50,6 +52,34 @@ WITH RECURSIVE steps AS (
 SELECT piece, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM steps WHERE done GROUP BY piece
 """
 
+#: The same for long pieces, in fewer rounds: all places of a piece's least rank are contracted at once, every other one from the
+#: left where they overlap.  Only the leftmost is where the new token could be part of a pair of lesser rank (``alone``).
+ENCODE_LONG = """
+WITH RECURSIVE steps AS (
+  SELECT piece, pos, tok, false AS done FROM started
+  UNION ALL
+  (WITH pairs AS (
+     SELECT s.*, m.rank, m.alone
+     FROM (SELECT piece, pos, tok, lead(tok) OVER o AS follower, row_number() OVER o AS nth
+           FROM steps WHERE NOT done WINDOW o AS (PARTITION BY piece ORDER BY pos)) s
+     LEFT JOIN merges m ON m.a = s.tok AND m.b = s.follower),
+   least AS (SELECT piece, min(rank) AS best FROM pairs GROUP BY piece),
+   hits AS (
+     SELECT p.piece, p.pos, p.alone, row_number() OVER h AS hit, p.nth - row_number() OVER h AS run
+     FROM pairs p JOIN least l ON l.piece = p.piece AND l.best = p.rank WINDOW h AS (PARTITION BY p.piece ORDER BY p.pos)),
+   chosen AS (
+     SELECT piece, pos FROM (SELECT *, row_number() OVER (PARTITION BY piece, run ORDER BY pos) AS place FROM hits)
+     WHERE CASE WHEN alone THEN hit = 1 ELSE place % 2 = 1 END)
+   SELECT p.piece, pos, CASE WHEN first THEN best ELSE tok END, best IS NULL
+   FROM (SELECT p.piece, p.pos, p.tok, c.pos IS NOT NULL AS first,
+                lag(c.pos IS NOT NULL, 1, false) OVER (PARTITION BY p.piece ORDER BY p.pos) AS second
+         FROM pairs p LEFT JOIN chosen c ON c.piece = p.piece AND c.pos = p.pos) p
+   JOIN least l ON l.piece = p.piece
+   WHERE NOT second)
+)
+SELECT piece, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM steps WHERE done GROUP BY piece
+"""
+
 DECODE = """
 SELECT piece, string_agg(v.hexed, '' ORDER BY nth) AS hexed
 FROM (SELECT piece, unnest(toks)::INTEGER AS tok, unnest(range(len(toks))) AS nth
@@ -103,10 +133,11 @@ class PieceCoder:
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         ]
+        alone = {t for a, b, rank in pairs for t in (a, b) if rank < t}
         a, b, rank = map(pa.array, zip(*pairs))
-        self.register("m", pa.table({"a": a, "b": b, "rank": rank}))
+        self.register("m", pa.table({"a": a, "b": b, "rank": rank, "alone": [r.as_py() in alone for r in rank]}))
         self.register("v", pa.table({"tok": list(ranks.values()), "hexed": [t.hex() for t in ranks]}))
-        self.db.execute("CREATE TABLE merges AS SELECT a::INTEGER a, b::INTEGER b, rank::INTEGER rank FROM m")
+        self.db.execute("CREATE TABLE merges AS SELECT a::INTEGER a, b::INTEGER b, rank::INTEGER rank, alone FROM m")
         self.db.execute("CREATE TABLE vocabulary AS SELECT tok::INTEGER tok, hexed FROM v")
         self.ids: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
@@ -118,6 +149,17 @@ class PieceCoder:
         """``piece, ids`` with ``piece`` the place in ``pieces``; none may be empty."""
         whole = [(i, self.ranks[p]) for i, p in enumerate(pieces) if p in self.ranks]
         rest = [(i, p) for i, p in enumerate(pieces) if p not in self.ranks]
+        asis = pa.table(
+            {
+                "piece": pa.array([i for i, _ in whole], pa.int32()),
+                "ids": pa.array([str(t) for _, t in whole], pa.string()),
+            }
+        )
+        short, long = ([x for x in rest if (len(x[1]) > LONG) == far] for far in (False, True))
+        merged = [self.contract(some, query).cast(asis.schema) for some, query in ((short, ENCODE), (long, ENCODE_LONG)) if some]
+        return pa.concat_tables([asis, *merged])
+
+    def contract(self, rest: list[tuple[int, bytes]], query: str) -> pa.Table:
         sizes = np.array([len(p) for _, p in rest], np.int64)
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(p for _, p in rest), np.uint8)
@@ -132,14 +174,7 @@ class PieceCoder:
                 }
             ),
         )
-        merged = self.db.sql(ENCODE).to_arrow_table() if rest else None
-        asis = pa.table(
-            {
-                "piece": pa.array([i for i, _ in whole], pa.int32()),
-                "ids": pa.array([str(t) for _, t in whole], pa.string()),
-            }
-        )
-        return asis if merged is None else pa.concat_tables([asis, merged.cast(asis.schema)])
+        return self.db.sql(query).to_arrow_table()
 
     def decode(self, encoded: pa.Table) -> pa.Table:
         self.register("encoded", encoded)

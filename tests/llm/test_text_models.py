@@ -62,7 +62,8 @@ def test_bpe_as_the_public_encoder(spark):
     rng = random.Random(3)
     alphabet = "abc AB  \n\t12'sdtrlvem.,!?é ñß\xa0\x1c\x85²½ª中文字😀　 ٣ÀœŁǆΩжא\x7fʼ"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(400)]
-    texts += ["a" * 300, " " * 300, "<|endoftext|>", "don't we'll", "the " * 30000, None, ""]
+    texts += ["a" * 300, " " * 300, "<|endoftext|>", "don't we'll", "the " * 30000, "w" * 50_000, "ab" * 15_000, None, ""]
+    texts += ["".join(rng.choice(letters) for _ in range(1500)) for letters in ("etaoinshr", "ABCdefghijklm", "0x", "-=.", "é中a")]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, "null id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash"))
     got = bpe.tokenize(df, PATH, public_tokenizers.PATTERN, keep_ids=True).collect()
