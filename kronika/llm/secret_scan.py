@@ -2,7 +2,7 @@
 
 Texts are lexed for what source and configuration files write as ``name = literal``, ``name: literal``,
 ``"name": "literal"`` or ``NAME=literal``.  Names bound to literals are constants of the text; a name assigned to
-another name takes on its literal, and literals joined by ``+`` are one value.  A literal is scored by the most
+another name takes on its literal, and literals joined by ``+`` are one value, in which each counts once.  A literal is scored by the most
 sensitive name that it reaches together with its length, character classes and entropy; those that score
 ``threshold`` or more give a span of kind ``literal``, which covers the literal where it is written.
 
@@ -97,13 +97,13 @@ def literal_spans(text: str, threshold: float = 5.0) -> set[tuple[int, int]]:
     constants: dict[str, list[tuple[int, int, str]]] = {}
     found: dict[tuple[int, int], float] = {}
     for name, parts in pairs(text):
-        value: list[tuple[int, int, str]] = []
+        spans: dict[tuple[int, int, str], None] = {}  # in order; each literal once, however often names repeat it
         for start, end, literal, other in parts:
             if other is not None and other in constants:
-                value += constants[other]
+                spans.update(dict.fromkeys(constants[other]))
             else:
-                value.append((start, end, literal if literal is not None else other))
-        constants[name] = value
+                spans[start, end, literal if literal is not None else other] = None
+        constants[name] = value = list(spans)
         weight = sensitivity(name)
         joined = "".join(v[2] for v in value)
         bare = all(p[3] is not None and p[3] not in constants for p in parts)

@@ -96,3 +96,8 @@ def test_constants_reach_sensitive_names():
     found = {text[a:b] for a, b in secret_scan.literal_spans(text)}
     assert found == {"sk_live_9fK2mQ7x", "Zp81Lw", "hunter2Hunter2x", "aB3dE5gH7jK9mN1p"}
     assert not secret_scan.literal_spans('title = "aB3dE5gH7jK9mN1p"')
+
+
+def test_names_that_double():
+    text = 'x = "k9Fq2mZ81Lp0"\n' + "x = x + x\n" * 2000 + "password_of = x\n"
+    assert secret_scan.literal_spans(text) == {(5, 17)}
