@@ -6,11 +6,13 @@ nodes give all their pairs; in larger ones every node is paired with the region'
 split again by a prefix twice as long, so that depth adapts to how crowded a place is.  The centre is the node nearest to the
 values that most nodes of the region share: among near copies the text that they were made from, with which each links though
 two copies may not.  Pairs that are similar enough by their signatures are confirmed on the full sets, and links give components.
+Where a crowded region of the first level then still has nodes of several components, all its pairs of nodes of different
+components are compared, block by block.
 
 At similarity 0.85 a link shares no prefix of three in any of 21 trees with probability 2e-9 (0.8: 3e-7); the cut on
-signatures lies 4.5 standard deviations below the threshold.  Nothing is capped.  A pair inside a region that stays
-crowded at every depth is not met itself; it is in one component when both ends link with the centre or the least node of
-one of their regions, which holds for groups of near copies.
+signatures lies 4.5 standard deviations below the threshold.  Nothing is capped: two nodes that meet in a region of the first level,
+however crowded, are compared or were already in one component.  The work in a region whose nodes do not link grows with the
+square of its size.
 
 Sets hold 64-bit hashes of shingles.
 
@@ -34,6 +36,10 @@ from .shingles import minhash, mixed, shingle_sets
 from .storage import materialize, small_batches
 
 HASHES, DEPTH, TREES, REGION = 128, 3, 21, 32
+#: Nodes of a block of a crowded region; two blocks are compared at a time.
+BLOCK = 1024
+#: Shingles compared at once.
+COLUMNS = 4096
 #: Up to so many crowded regions, counted, their common signatures are broadcast (10 MB); more of them are joined by sort-merge.
 BROADCAST_REGIONS = 20_000
 #: Regions whose votes a task holds at once.
@@ -186,9 +192,13 @@ def to_centres(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """``a, b`` with a < b: pairs of nodes that meet in a region of some tree, once each."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` with a < b: pairs of nodes, once each, and ``key, id``: the crowded regions of the first level.
+
+    Pairs are those of regions that are not crowded, and of crowded ones those with the least node and the centre.
+    """
     found: DataFrame | None = None
+    first: DataFrame | None = None
     level, depth = first_level(nodes), DEPTH
     while True:
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
@@ -199,18 +209,24 @@ def candidates(nodes: DataFrame) -> DataFrame:
         stars = crowded.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
         new = pairs.select("a", "b").unionByName(stars)
         found = new if found is None else found.unionByName(new)
+        first = crowded.select("key", "id") if first is None else first
         depth *= 2
         if crowded.isEmpty():
-            return found.distinct()
+            return found.distinct(), first
         found = found.unionByName(to_centres(crowded, nodes))
         if depth > HASHES:
-            return found.distinct()
+            return found.distinct(), first
         level = next_level(crowded, nodes, depth)
 
 
+def least_alike(threshold: float) -> float:
+    """The share of equal places in signatures from which on a pair is compared."""
+    return threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / HASHES)
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose sizes and signatures allow for the threshold."""
-    least = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / HASHES)
+    least = least_alike(threshold)
 
     def run(batches):
         for batch in batches:
@@ -224,13 +240,20 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full sets."""
+def sets_by_id(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``id, hashes``: the full sets of the documents with the given ids."""
 
     def to_sets(batches):
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "hashes": [s.tobytes() for s in sets_of(batch, width)]})
 
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return materialize(docs.join(ids, "id", "left_semi").mapInPandas(to_sets, "id long, hashes binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union on the full sets."""
+
     def compare(batches):
         for batch in batches:
             keep = []
@@ -241,14 +264,95 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = materialize(docs.join(ids, "id", "left_semi").mapInPandas(to_sets, "id long, hashes binary"), "sets")
+    sets = sets_by_id(ids, docs, width)
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("one")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("hashes").alias("two")), "b"
     )
     return rows.select("a", "b", "one", "two").mapInPandas(compare, "a long, b long")
 
 
+def shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``one`` has in common with each of ``two``."""
+    both = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    places = []
+    for sets in (one, two):
+        values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [*map(len, sets)])
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        known = np.flatnonzero(both[at] == values) if len(both) else np.empty(0, int)
+        known = known[np.argsort(at[known], kind="stable")]
+        places.append((row[known], at[known]))
+    out = np.zeros((len(one), len(two)), np.int64)
+    for start in range(0, len(both), COLUMNS):
+        sides = []
+        for (row, at), n in zip(places, out.shape):
+            own = slice(*np.searchsorted(at, (start, start + COLUMNS)))
+            side = np.zeros((n, min(COLUMNS, len(both) - start)), np.float32)
+            side[row[own], at[own] - start] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)  # at most COLUMNS, so exact
+    return out
+
+
+def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """``a, b``: links between the blocks ``lo`` and ``hi`` (or within one), at least one for two components that any link joins."""
+    threshold = percent / 100
+    sides = [rows[rows["block"] == rows[x].iloc[0]] for x in ("lo", "hi")]
+    one, two = sides
+    sigs = [np.ascontiguousarray(as_matrix(x["sig"]).T) for x in sides]
+    alike = np.zeros((len(one), len(two)), np.uint8)
+    for x, y in zip(*sigs):
+        alike += x[:, None] == y
+    n, m = (x["hashes"].map(len).to_numpy() // 8 for x in sides)
+    c, d = one["component"].to_numpy(), two["component"].to_numpy()
+    fits = (alike >= least_alike(threshold) * HASHES) & (c[:, None] != d)
+    fits &= np.minimum(n[:, None], m) >= np.maximum(n[:, None], m) * (threshold - 1e-9)
+    if rows["lo"].iloc[0] == rows["hi"].iloc[0]:
+        fits = np.triu(fits)
+    i, j = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
+    if not len(i):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    both = shared(*([np.frombuffer(h, np.uint64) for h in x["hashes"].iloc[at]] for x, at in ((one, i), (two, j))))
+    linked = fits[np.ix_(i, j)] & (100 * both >= percent * (n[i][:, None] + m[j] - both))
+    p, q = np.nonzero(linked)
+    p, q = i[p], j[q]
+    joined = np.column_stack([np.minimum(c[p], d[q]), np.maximum(c[p], d[q])])
+    _, first = np.unique(joined, axis=0, return_index=True)
+    a, b = one["id"].to_numpy()[p[first]], two["id"].to_numpy()[q[first]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def crowded_links(crowded: DataFrame, nodes: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``a, b``: links between different components of ``groups`` inside crowded regions (``key, id``).
+
+    A component that fills a block has blocks of its own, which do not meet each other; all others meet in pairs.
+    """
+    of = groups.select(F.col("node").alias("id"), "component")
+    placed = crowded.join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    counted = materialize(placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("own")), "counted")
+    rest = F.sum(F.when(F.col("own") < BLOCK, F.col("own")).otherwise(0)).alias("rest")
+    mixed_regions = counted.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), rest).where("parts > 1").select("key", "rest")
+    parts = counted.join(mixed_regions, "key")
+    full = F.col("own") >= BLOCK
+    some = F.pmod(F.xxhash64("id"), F.ceil(F.when(full, F.col("own")).otherwise(F.col("rest")) / BLOCK))
+    dealt = placed.join(parts, ["key", "component"]).select(
+        "key",
+        "id",
+        "component",
+        F.when(full, F.col("component")).alias("alone"),
+        F.when(full, F.xxhash64("component", some)).otherwise(some).alias("block"),
+    )
+    dealt = materialize(dealt.distinct(), "dealt")
+    blocks = dealt.select("key", "block", "alone").distinct()
+    one = blocks.select("key", F.col("block").alias("lo"), F.col("alone").alias("alone_lo"))
+    two = blocks.select("key", F.col("block").alias("hi"), F.col("alone").alias("alone_hi"))
+    meet = one.join(two, "key").where("lo <= hi and (alone_lo is null or alone_hi is null or alone_lo <> alone_hi)")
+    meet = meet.select("key", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    sets = sets_by_id(dealt.select("id").distinct(), docs, width).distinct()
+    held = nodes.select("id", "sig").join(sets, "id")
+    rows = dealt.select("key", "id", "component", "block").join(meet, ["key", "block"]).join(held, "id")
+    return rows.groupBy("key", "lo", "hi").applyInPandas(lambda x: block_links(x, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; the least id of a component stays."""
     small_batches(docs.sparkSession)
@@ -257,9 +361,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     of_set = every.where("set_key is not null").groupBy("set_key")
     nodes = materialize(of_set.agg(F.min(F.struct("id", "n", "sig")).alias("least")).select("set_key", "least.*"), "nodes")
     known = nodes.where("id is not null")
-    pairs = materialize(likely(materialize(candidates(known), "pairs"), known, percent / 100), "likely")
-    links = confirmed(pairs, docs, width, percent)
+    found, crowded = candidates(known)
+    pairs = materialize(likely(materialize(found, "pairs"), known, percent / 100), "likely")
+    links = materialize(confirmed(pairs, docs, width, percent), "links")
     groups = components(links)
+    if not crowded.isEmpty():
+        groups = components(links.unionByName(crowded_links(crowded, known, groups, docs, width, percent)))
     of_node = nodes.join(groups, F.col("id") == F.col("node"), "left").select(
         "set_key", F.coalesce("component", "id").alias("component_id")
     )

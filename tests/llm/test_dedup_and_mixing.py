@@ -120,6 +120,25 @@ def test_copies_of_a_text_that_is_not_the_least(spark):
     assert {got[i] for i in linked} == {linked[0]}
 
 
+def test_links_within_a_template_group(spark):
+    """Planted pairs and chains among thousands of texts that share a template, none alike enough to the least or the centre."""
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(278)]
+    own = [[f"own{i}x{k}" for k in range(26)] for i in range(2500)]
+    planted = [(i, i + 1) for i in range(100, 180, 2)] + [(i, i + 1) for i in range(300, 309)]
+    for a, b in planted:  # the end of one and the start of the next share seven words
+        own[a][-7:] = own[b][:7] = [f"pair{a}x{k}" for k in range(7)]
+    texts = [template + x for x in own]
+    sets = [sets_by_hand(" ".join(t)) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(a, b) >= 0.85 for a, b in planted)
+    assert all(alike(*rng.sample(range(400, 2500), 2)) < 0.85 for _ in range(100)) and alike(300, 302) < 0.85
+    found = near_dedup.near_duplicates(docs_of(spark, [(i, " ".join(t), "a") for i, t in enumerate(texts)]), percent=85)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    want = {i: i for i in range(2500)} | {i + 1: i for i in range(100, 180, 2)} | {i: 300 for i in range(300, 310)}
+    assert got == want
+
+
 def test_shingle_hashes():
     texts = ["a b c d e f a b c d e", "", " x ", "A B C D E", "a b c d e"]
     sets = shingles.shingle_sets(texts)
