@@ -41,6 +41,22 @@ def cancelled_by_lane(spark: SparkSession) -> DataFrame:
     return spark.range(2000).select((F.col("id") * 100).alias("start"), (F.col("id") * 100 + 5).alias("end"), lane.alias("range_lane"))
 
 
+#: The ranges of ``all_cancelled`` as a common table expression, to follow JOURNAL.
+ALL_CANCELLED = """
+all_cancelled AS (
+  SELECT i * 100 AS lo, i * 100 + 5 AS hi, CASE WHEN i % 2 = 0 THEN NULL ELSE (i % 3)::INTEGER END AS lane
+  FROM (SELECT unnest(range((SELECT coalesce(max(event_id), -1) // 100 + 1 FROM events))) AS i))
+"""
+
+
+def all_cancelled(journal: DataFrame) -> DataFrame:
+    """``start, end, range_lane``: the ranges of ``cancelled_by_lane``, up to the last sequence of ``journal``."""
+    last = journal.agg(F.max("global_sequence")).first()[0]
+    lane = F.when(F.col("id") % 2 != 0, F.col("id") % 3).cast("int")
+    ids = journal.sparkSession.range(0 if last is None else last // 100 + 1)
+    return ids.select((F.col("id") * 100).alias("start"), (F.col("id") * 100 + 5).alias("end"), lane.alias("range_lane"))
+
+
 class Registry:
     def __init__(self) -> None:
         self.queries: dict = {}

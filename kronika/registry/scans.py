@@ -10,7 +10,7 @@ from ..plans.region import Region
 from ..sources import journal as source
 from ..sources.journal import events_journal as journal
 from ..sources.tables import new_path as stored
-from .base import Registry, cancelled, cancelled_by_lane, sql
+from .base import ALL_CANCELLED, Registry, all_cancelled, cancelled, cancelled_by_lane, sql
 
 R = Registry()
 SHOWN = ("global_sequence", "entity", "scope", "kind", "clock")
@@ -55,6 +55,22 @@ def a11(s, d):
     return source.snapshot(stored_rows, stored(s), 700).select("rows", "last_sequence")
 
 
+#: Sequences that readers with a lag do not see yet.
+LAG = 50
+LAGGED = f"global_sequence < (SELECT max(global_sequence) - {LAG} FROM j)"
+
+
+def lagged(rows):
+    """The visibility bound: the last sequence less the lag."""
+    return (rows.agg(F.max("global_sequence")).first()[0] or 0) - LAG
+
+
+@R.add("a11_snapshot_to_lag", sql(f"SELECT count(*) AS rows, max(global_sequence) AS last_sequence FROM j WHERE {LAGGED}"))
+def a11_lag(s, d):
+    rows = journal(s, d).select("global_sequence", "event_hash")
+    return source.snapshot(rows, stored(s), lagged(rows)).select("rows", "last_sequence")
+
+
 @R.add("a10_fork", sql("SELECT count(*) AS rows, max(global_sequence) AS last_sequence FROM j"))
 def a10(s, d):
     rows = journal(s, d).select("global_sequence", "event_hash", "dag_lane", "dag_depth")
@@ -101,6 +117,28 @@ def b10(s, d):
     return shown(query.region(visibility.visible(journal(s, d), cancelled(s), 9000), Region(category=1, clock=(0, 9), lane=0)))
 
 
+ALL_HIDDEN = HIDDEN.replace("cancelled", "all_cancelled")
+
+
+@R.add("b9_visible_to_lag", sql(f"SELECT {COLS} FROM j WHERE {LAGGED} AND NOT {ALL_HIDDEN}", ALL_CANCELLED))
+def b9_lag(s, d):
+    rows = journal(s, d)
+    return shown(visibility.visible(rows, all_cancelled(rows).drop("range_lane"), lagged(rows)))
+
+
+@R.add("b9_visible_on_lane_to_lag", sql(f"SELECT {COLS}, dag_lane FROM j WHERE dag_lane = 2 AND {LAGGED} AND NOT EXISTS (SELECT 1 FROM all_cancelled c WHERE global_sequence >= c.lo AND global_sequence < c.hi AND (c.lane IS NULL OR c.lane = dag_lane))", ALL_CANCELLED))
+def b9_lane_lag(s, d):
+    rows = journal(s, d)
+    return visibility.visible_on_lane(rows, all_cancelled(rows), F.lit(lagged(rows)), 2).select(*SHOWN, "dag_lane")
+
+
+@R.add("b10_conjunction_to_lag", sql(f"SELECT {COLS} FROM j WHERE {LAGGED} AND NOT {ALL_HIDDEN} AND kind >> 12 = 1 AND clock BETWEEN 0 AND 9 AND dag_lane = 0", ALL_CANCELLED))
+def b10_lag(s, d):
+    rows = journal(s, d)
+    seen = visibility.visible(rows, all_cancelled(rows).drop("range_lane"), lagged(rows))
+    return shown(query.region(seen, Region(category=1, clock=(0, 9), lane=0)))
+
+
 @R.add("b11_stream", sql("SELECT global_sequence, wall_ms, clock, event_id FROM j WHERE entity = 'user:7' ORDER BY wall_ms, clock, event_id"))
 def b11(s, d):
     return query.stream(journal(s, d), "user:7").select("global_sequence", "wall_ms", "clock", "event_id")
@@ -235,6 +273,16 @@ def c6(s, d):
     return pairs.select(F.col("a.global_sequence").alias("a"), F.col("b.global_sequence").alias("b"), clocks.position_order(*sides).alias("relation"))
 
 
+@R.add("c6_position_order_of_causes", sql("SELECT a.global_sequence AS a, b.global_sequence AS b, CASE WHEN a.dag_lane = b.dag_lane AND a.dag_depth = b.dag_depth THEN CASE WHEN a.global_sequence < b.global_sequence THEN 'before' WHEN a.global_sequence > b.global_sequence THEN 'after' ELSE 'equal' END ELSE 'unordered' END AS relation FROM j a JOIN j b ON b.event_id = a.causation_id"))
+def c6_causes(s, d):
+    """Every event of the table that has a cause, against that cause."""
+    rows = journal(s, d).select("event_id", "causation_id", "dag_lane", "dag_depth", "global_sequence")
+    a, b = rows.alias("a"), rows.alias("b")
+    sides = [F.col(f"{x}.{c}") for x in "ab" for c in ("dag_lane", "dag_depth", "global_sequence")]
+    pairs = a.join(b, F.col("a.causation_id") == F.col("b.event_id"))
+    return pairs.select(F.col("a.global_sequence").alias("a"), F.col("b.global_sequence").alias("b"), clocks.position_order(*sides).alias("relation"))
+
+
 @R.add("c7_clock_points", sql("SELECT entity, max(global_sequence) AS sequence, arg_max(wall_ms, global_sequence) AS wall_ms FROM j GROUP BY entity"))
 def c7(s, d):
     top = journal(s, d).groupBy("entity").agg(F.max_by(clocks.point(), "global_sequence").alias("p"))
