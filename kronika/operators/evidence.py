@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -132,22 +134,23 @@ def transitions(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("transition_id", F.array_join(found, ",").alias("findings"))
 
 
-def supersession(rows: DataFrame, most: int = 16) -> DataFrame:
+def supersession(rows: DataFrame) -> DataFrame:
     """``row_id, finding`` over ``row_id, supersedes, lifecycle``: dangling targets, cycles and lifecycles out of range.
 
-    Every row has at most one outgoing edge; pointers double each round, so ``most`` rounds cover chains of 2^most.  ``cycle``
-    is reported of rows on a cycle and of rows that lead into one.  Each round is written and read again.
+    Every row has at most one outgoing edge; pointers double each round, and rows whose chain ends drop out.  A longer chain would
+    hold rows of every lesser length, so once a round loses none all that are left never end.  ``cycle`` is reported of rows on a
+    cycle and of rows that lead into one.  Each round is written and read again.
     """
     ids = rows.select(F.col("row_id").alias("target"), F.lit(True).alias("known"))
     linked = rows.where("supersedes is not null").join(ids, F.col("supersedes") == F.col("target"), "left")
     dangling = linked.where("known is null").select("row_id", F.lit("dangling_supersedes").alias("finding"))
     lifecycle = rows.where("lifecycle not between 0 and 3").select("row_id", F.lit("unknown_lifecycle").alias("finding"))
     jump = materialize(linked.where("known").select("row_id", F.col("supersedes").alias("to")))
-    for _ in range(most):
-        if jump.isEmpty():
-            break
+    before, left = None, jump.count()
+    while left and left != before:
         hop = jump.select(F.col("row_id").alias("to"), F.col("to").alias("further"))
         jump = materialize(jump.join(hop, "to").select("row_id", F.col("further").alias("to")))
+        before, left = left, jump.count()
     cycles = jump.select("row_id", F.lit("cycle").alias("finding"))
     return dangling.unionByName(lifecycle).unionByName(cycles)
 
@@ -294,13 +297,14 @@ def read_walk(rows: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def canonical_order(declared: DataFrame, prerequisites: DataFrame, rounds: int) -> DataFrame:
-    """Levels of a dependency order: each round places operations all of whose needs are placed (``level`` null: on a cycle).
+def canonical_order(declared: DataFrame, prerequisites: DataFrame) -> DataFrame:
+    """Levels of a dependency order: each round places operations all of whose needs are placed, until a round places none.
 
+    ``level`` is null for what is left: operations on a cycle, and those that need one of them or one that is not declared.
     ``declared``: op, phase; ``prerequisites``: op, needs.
     """
     placed = declared.join(prerequisites, "op", "left_anti").select("op", F.lit(0).alias("level"))
-    for level in range(1, rounds + 1):
+    for level in itertools.count(1):
         placed = materialize(placed)
         waiting = declared.join(placed, "op", "left_anti")
         blocked = prerequisites.join(placed.select(F.col("op").alias("needs")), "needs", "left_anti").select("op").distinct()

@@ -85,7 +85,7 @@ def d12(s, d):
     key = F.col("o_orderkey")
     to = F.when(key % 5 == 0, key - 1).when(key % 50 == 4, key + 1).when(key % 7 == 0, key + 100000000)
     rows = orders(s, d).select(key.alias("row_id"), to.alias("supersedes"), (key % 6).alias("lifecycle"))
-    return evidence.supersession(rows, 4)
+    return evidence.supersession(rows)
 
 
 @R.add("d13_collisions", "SELECT p_brand, count(DISTINCT p_type) AS values, arg_min(p_type, p_partkey) AS first_owner FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1")
@@ -260,30 +260,76 @@ SELECT de.plan, coalesce(arg_min(x.problem, x.rank), 'admitted') AS verdict FROM
 
 @R.add("k15_schedules", PLANS)
 def k15(s, d):
-    rows = lineitem(s, d).where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("position"), (F.col("l_partkey") % 6).alias("op"))
+    return schedules(lineitem(s, d).where("l_orderkey % 10 = 0"), 30)
+
+
+def schedules(lines, every):
+    """Verdicts on one plan for each order of ``lines``; every so many declare an operation more."""
+    rows = lines.select(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("position"), (F.col("l_partkey") % 6).alias("op"))
     own = rows.where("op <> 5").select("plan", "op", F.expr("op div 3").alias("phase"))
-    extra = rows.where("plan % 30 = 0").select("plan", F.lit(2).cast("long").alias("op"), F.lit(0).cast("long").alias("phase"))
+    extra = rows.where(F.col("plan") % every == 0).select("plan", F.lit(2).cast("long").alias("op"), F.lit(0).cast("long").alias("phase"))
     declared = own.unionByName(extra).distinct()
     needs = declared.where("op in (1, 4)").select("plan", "op", (F.col("op") - 1).alias("needs"))
     return evidence.schedule_problems(declared, rows, needs)
 
 
+@R.add("k15_schedules_of_all_orders", PLANS.replace("WHERE l_orderkey % 10 = 0", "").replace("plan % 30 = 0", "plan % 3 = 0"))
+def k15_all(s, d):
+    return schedules(lineitem(s, d), 3)
+
+
 @R.add("k16_schedule_levels", "SELECT op, phase, level FROM (VALUES (1::BIGINT, 0, 0), (2, 0, 1), (3, 1, 2), (4, 1, 1), (5, 2, NULL), (6, 2, NULL)) t(op, phase, level)")
 def k16(s, d):
     declared = s.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, 2)], "op long, phase int")
     needs = s.createDataFrame([(2, 1), (3, 2), (3, 1), (4, 1), (5, 6), (6, 5)], "op long, needs long")
-    return evidence.canonical_order(declared, needs, 6)
+    return evidence.canonical_order(declared, needs)
+
+
+#: Parts in groups of eight, each in need of the one before; of every fifth group that is whole, the first needs the last.
+LEVELS = """
+WITH p AS (SELECT p_partkey AS op, p_size AS phase, p_partkey // 8 AS g FROM part),
+s AS (SELECT g, min(op) AS first, max(op) AS last FROM p GROUP BY 1)
+SELECT op, phase, CASE WHEN g % 5 <> 0 OR last - first < 7 THEN (op - first)::INTEGER END AS level FROM p JOIN s USING (g)
+"""
+
+
+@R.add("k16_schedule_levels_of_parts", LEVELS)
+def k16_parts(s, d):
+    declared = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("op"), F.col("p_size").alias("phase"))
+    key = F.col("op")
+    ring = (key % 8 == 0) & (F.expr("op div 8") % 5 == 0)
+    needs = declared.select("op", F.when(key % 8 != 0, key - 1).when(ring, key + 7).alias("needs")).where("needs is not null")
+    known = declared.select(key.alias("needs"))
+    return evidence.canonical_order(declared, needs.join(known, "needs", "left_semi").select("op", "needs"))
 
 
 @R.add("k17_recovery", "SELECT o_custkey AS attempt, CASE WHEN d AND NOT c THEN 'refuse' WHEN d THEN 'completed' WHEN c THEN 'finish_disposition' WHEN s AND NOT p THEN 'refuse' WHEN s THEN 'roll_back' WHEN o_custkey % 3 = 0 THEN 'roll_back' ELSE 'absent' END AS verdict FROM (SELECT o_custkey, bool_or(o_orderkey % 5 = 0) AS p, bool_or(o_orderkey % 7 = 1) AS s, bool_or(o_orderkey % 11 = 2) AS c, bool_or(o_orderkey % 13 = 3) AS d FROM (SELECT * FROM orders WHERE o_orderkey % 4 = 0) GROUP BY 1)")
 def k17(s, d):
+    return recoveries(orders(s, d).where(F.col("o_orderkey") % 4 == 0))
+
+
+def recoveries(some):
+    """Verdicts on one attempt for each customer of ``some`` orders."""
     key = F.col("o_orderkey")
     steps = F.array_compact(F.array(F.when(key % 5 == 0, "prepared"), F.when(key % 7 == 1, "started"), F.when(key % 11 == 2, "completed"), F.when(key % 13 == 3, "disposed"), F.lit("seen")))
-    events = orders(s, d).where(key % 4 == 0).select(F.col("o_custkey").alias("attempt"), F.explode(steps).alias("step"))
+    events = some.select(F.col("o_custkey").alias("attempt"), F.explode(steps).alias("step"))
     probes = events.select("attempt").distinct().withColumn("alive", F.col("attempt") % 3 == 0)
     return evidence.recovery(events, probes)
 
 
+K17_ALL = """
+SELECT o_custkey AS attempt, CASE WHEN d AND NOT c THEN 'refuse' WHEN d THEN 'completed' WHEN c THEN 'finish_disposition'
+  WHEN s AND NOT p THEN 'refuse' WHEN s THEN 'roll_back' WHEN o_custkey % 3 = 0 THEN 'roll_back' ELSE 'absent' END AS verdict
+FROM (SELECT o_custkey, bool_or(o_orderkey % 5 = 0) AS p, bool_or(o_orderkey % 7 = 1) AS s, bool_or(o_orderkey % 11 = 2) AS c,
+        bool_or(o_orderkey % 13 = 3) AS d FROM orders GROUP BY 1)
+"""
+
+
+@R.add("k17_recovery_of_all_orders", K17_ALL)
+def k17_all(s, d):
+    return recoveries(orders(s, d))
+
+
 @R.add("k18_budget_witness", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 30 THEN 'within' ELSE 'exceeded' END AS verdict FROM lineitem")
 def k18(s, d):
     verdict = F.when(F.col("l_quantity") <= 30, "within").otherwise("exceeded")

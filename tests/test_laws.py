@@ -180,6 +180,17 @@ def test_gaps(spark):
         assert sorted(tuple(r) for r in found.select("expected", "delivered", "shared_from", "shared_to").collect()) == want
 
 
+def test_long_chains_are_no_cycles(spark):
+    """Chains longer than any fixed number of rounds end; what leads into a cycle does not."""
+    n = (1 << 16) + 100
+    rows = spark.range(n + 3).selectExpr("id as row_id", f"case when id < {n} then nullif(id + 1, {n}) when id = {n + 2} then {n} else id + 1 end as supersedes", "0 as lifecycle")
+    assert {r.row_id for r in evidence.supersession(rows).collect()} == {n, n + 1, n + 2}
+    declared = spark.range(14).selectExpr("id as op", "0 as phase")
+    needs = declared.where("op > 0").selectExpr("op", "case when op = 11 then 13 else op - 1 end as needs")
+    got = {r.op: r.level for r in evidence.canonical_order(declared, needs).collect()}
+    assert got == {i: i if i < 11 else None for i in range(14)}
+
+
 def test_supersession(spark):
     rows = [(1, 2, 0), (2, 1, 0), (3, 4, 0), (4, None, 9), (5, 99, 1), (6, 6, 2), (7, 1, 0)]
     got = evidence.supersession(spark.createDataFrame(rows, "row_id long, supersedes long, lifecycle int")).collect()
