@@ -302,7 +302,7 @@ sp AS (SELECT c.global_sequence, f.parent FROM j c JOIN f ON f.entity = c.entity
 @R.add("d1_hit_upgrade", sql("SELECT event_id, global_sequence, kind FROM j WHERE global_sequence % 50 = 0"))
 def d1(s, d):
     rows = journal(s, d)
-    hits = s.range(0, 1 << 20, 50).select(source.id_of(F.col("id")).alias("event_id"))
+    hits = rows.where(F.col("global_sequence") % 50 == 0).select("event_id")
     return query_join(hits, rows)
 
 

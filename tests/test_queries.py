@@ -74,6 +74,15 @@ def test_bounds_follow_the_table(spark, tmp_path, name):
         assert not any(r.global_sequence % 200 < 5 for r in rows)
 
 
+def test_hits_have_no_last_sequence(spark, tmp_path):
+    path = far_events(spark, tmp_path / "far", "event_id + 1048600")
+    got = registry.QUERIES["d1_hit_upgrade"](spark, path)
+    want = over(path, registry.ORACLES["d1_hit_upgrade"])
+    columns = [c[0] for c in want.description]
+    rows = got.collect()
+    assert len(rows) and same_rows(got.columns, rows) == same_rows(columns, want.fetchall())
+
+
 def test_scan_reads_what_it_needs(spark):
     plan = query.region(events_journal(spark, SF), Region(kind=0x2002)).select("global_sequence", "entity")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
