@@ -10,7 +10,8 @@ documents; the last returns the encoding.  No stage reads anything but its input
 * mixing repeats or drops documents so that sources come near their targets;
 * byte-level BPE encodes what is left.
 
-Rows that repeat a ``doc_id`` share its decisions.  SQL cannot express the language model nor the encoding, so there is no
+Rows that repeat a ``doc_id`` share its decisions; rows without one are decided as if they had an id of their own made from the
+text, so that those with equal texts share theirs.  SQL cannot express the language model nor the encoding, so there is no
 oracle; tests hold ``run`` against a brute-force version.
 """
 
@@ -31,22 +32,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs.select(*COLUMNS), MIN_SCORE)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_key``: the id, or where there is none a number from 2^62 on by the text, so that real ids come first."""
+    own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), own).alias("row_key"))
+
+
 def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` less the documents that ``decided`` does not keep."""
-    return docs.select(*COLUMNS).join(decided.where("not kept").select("doc_id"), "doc_id", "left_anti")
+    """``docs`` with keys less the documents that ``decided`` does not keep."""
+    gone = decided.where("not kept").select(F.col("doc_id").alias("row_key"))
+    return docs.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, exact_dedup.dedup(docs))
+    rows = keyed(docs)
+    return without(rows, exact_dedup.dedup(rows, id_col="row_key"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, near_dedup.near_duplicates(docs, percent=80))
+    rows = keyed(docs)
+    return without(rows, near_dedup.near_duplicates(rows, percent=80, id_col="row_key"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).cast("int").alias("times"))
-    repeated = docs.select(*COLUMNS).join(times, "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1), "times")))
+    rows = keyed(docs)
+    taken = mixing.mix(rows, id_col="row_key").where("taken > 0").groupBy(F.col("doc_id").alias("row_key"))
+    times = taken.agg(F.max(F.expr("taken div size")).cast("int").alias("times"))
+    repeated = rows.join(times, "row_key").withColumn("nth", F.explode(F.sequence(F.lit(1), "times")))
     return repeated.select(*COLUMNS)
 
 

@@ -16,7 +16,8 @@ square of its size.
 
 Sets hold 64-bit hashes of shingles.
 
-Defined results: documents without words or text have an empty set, link with nothing and stay; with fewer words than a
+Defined results: a row without an id belongs to the component of the rows with its set that have one, and does not stay; where
+none has, it links with nothing, its component is null and it stays; documents without words or text have an empty set, link with nothing and stay; with fewer words than a
 shingle has, the whole sequence is the one shingle; rows that repeat an id with another text tie that text to the id;
 an empty table gives an empty result.  Only the id and text columns are read.
 """
@@ -74,9 +75,12 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             sets = sets_of(batch, width)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
             sigs = [minhash(s, HASHES).tobytes() if len(s) else None for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "n": [*map(len, sets)], "set_key": keys, "sig": sigs})
+            yield pd.DataFrame({"id": batch["id"], "known": batch["known"], "n": [*map(len, sets)], "set_key": keys, "sig": sigs})
 
-    return docs.mapInPandas(run, "id long, n long, set_key string, sig binary")
+    # pandas holds longs beside nulls as doubles, so nulls are told by a column of their own
+    filled = docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "text")
+    found = filled.mapInPandas(run, "id long, known boolean, n long, set_key string, sig binary")
+    return found.select(F.when(F.col("known"), F.col("id")).alias("id"), "n", "set_key", "sig")
 
 
 def prefix_keys(sigs: np.ndarray, tree: np.ndarray | int, depth: int) -> np.ndarray:
@@ -359,7 +363,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     every = materialize(signed(docs, width), "signatures")
     of_set = every.where("set_key is not null").groupBy("set_key")
-    nodes = materialize(of_set.agg(F.min(F.struct("id", "n", "sig")).alias("least")).select("set_key", "least.*"), "nodes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n", "sig")).alias("least")
+    nodes = materialize(of_set.agg(first).select("set_key", "least.id", "least.n", "least.sig"), "nodes")
     known = nodes.where("id is not null")
     found, crowded = candidates(known)
     pairs = materialize(likely(materialize(found, "pairs"), known, percent / 100), "likely")

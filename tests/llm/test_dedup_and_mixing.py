@@ -139,6 +139,32 @@ def test_links_within_a_template_group(spark):
     assert got == want
 
 
+def test_rows_without_id(spark):
+    base = [f"w{i}" for i in range(200)]
+    text, near, alone = " ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"x{i}" for i in range(50))
+    far = (1 << 60) + 1  # not a double
+    rows = [(None, text, "a"), (far, text, "a"), (7, near, "a"), (None, near, "a"), (None, alone, "a"), (None, None, "a"), (9, "y " * 9, "a")]
+    got = near_dedup.near_duplicates(docs_of(spark, rows), 80).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == sorted(
+        [(None, 196, 7, False), (far, 196, 7, False), (7, 196, 7, True), (None, 196, 7, False), (None, 46, None, True), (None, 0, None, True), (9, 1, 9, True)], key=str
+    )
+
+
+def test_pipeline_keeps_rows_without_id(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    text, near = " ".join(base), " ".join([*base[:-1], "other"])
+    texts = [(None, text), (5, text), (None, near), (None, " ".join(f"x{i}" for i in range(60))), (8, " ".join(f"y{i}" for i in range(60)))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.drop_copies(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in exact), key=str) == sorted(texts[1:], key=str)
+    left = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(exact, docs.schema), "")
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([texts[1], *texts[3:]], key=str)
+    mixed = {(r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, left, "").collect()}
+    assert mixed == {texts[1], *texts[3:]}
+
+
 def test_shingle_hashes():
     texts = ["a b c d e f a b c d e", "", " x ", "A B C D E", "a b c d e"]
     sets = shingles.shingle_sets(texts)
