@@ -18,6 +18,8 @@ HIDDEN = frozenset("head script style title template noscript iframe object svg
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
+#: What a head may hold; anything else, and text, ends one that is open.
+IN_HEAD = frozenset("title meta link base basefont bgsound script style noscript noframes template".split())
 CLOSES = {
     "li": ("li", ("ul", "ol", "menu")),
     "dt": ("dt dd", ("dl",)),
@@ -49,6 +51,8 @@ def parse(page: str) -> Tree:
     block = at = hidden = 0
 
     def text(upto: int) -> None:
+        if upto > at and hidden and tags[stack[-1]] == "head" and not page[at:upto].isspace():
+            pop(len(stack) - 1)
         if upto > at and not hidden:
             raw = page[at:upto]
             raw = html.unescape(raw) if "&" in raw else raw
@@ -77,6 +81,8 @@ def parse(page: str) -> Tree:
                     break
             block += tag not in INLINE
             continue
+        if tags[stack[-1]] == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1)
         if tag in VOID:
             block += tag in ("br", "hr")
             continue

@@ -111,6 +111,16 @@ def test_page(model):
     )
 
 
+@pytest.mark.parametrize("end", ["", "</head>", "<body>", "</head><body>"])
+def test_head_without_end(model, end):
+    """The tags of head and body may be left out; what a head may not hold ends it."""
+    words = "One two three four five six seven eight nine ten eleven twelve words of a text that goes on for a while longer."
+    head = "<title>t</title><meta charset=utf-8><script>x</script><noscript><img src=a><div>no</div></noscript><template><p>no</p></template>"
+    page = f"<html><head>{head}\n{end}<article><p>{words}</article>"
+    assert html_extract.extract(page, model) == words
+    assert "".join(t for _, _, t in html_tree.parse(f"<head>{head}{end}{words}<p>more").chunks) == words + "more"
+
+
 def test_odd_pages(spark, model):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<"), (4, "u", "<p"), (5, "u", "<!--"), (6, "u", "</div></p>"), (7, "u", "<div>" * 3000), (8, "u", PAGE), (8, "u", PAGE), (9, "u", "<script>x"), (None, "u", PAGE)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)), model).collect()
