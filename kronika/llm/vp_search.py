@@ -2,8 +2,9 @@
 
 Vectors get one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm, which turns the largest inner product
 into the least Euclidean distance, so that the triangle inequality can prune.  A subtree is skipped when
-``factor`` times its lower bound exceeds the distance to the k-th best so far; factor 1 is exact search,
-larger factors skip more.
+``factor`` times its lower bound exceeds the distance to the k-th best so far by more than rounding can make; factor 1 is
+exact search, larger factors skip more.  Distances are roots of differences of squares near M^2, so rounding moves small ones
+by about 1e-8 M for each root of a dimension.
 
 Shards hold about ``shard_rows`` vectors by a hash of the id; each shard's tree is one row.  Queries are packed in blocks
 of about ``block`` and every block meets every shard; a shard returns k rows for each query and the best k of all stay.
@@ -84,7 +85,8 @@ class Tree:
         return self.best, self.who
 
     def _visit(self, at: int, active: np.ndarray, bound: np.ndarray) -> None:
-        active = active[bound * self.factor <= self.reach[active] * (1 + 1e-9) + 1e-12]
+        slack = self.top * max(1e-6, 1e-7 * math.sqrt(self.points.shape[1]))
+        active = active[bound * self.factor <= self.reach[active] * (1 + 1e-9) + slack]
         if not len(active):
             return
         node = self.nodes[at]

@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force; secrets."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -44,6 +45,22 @@ def test_factor_one_is_exact(spark):
     assert search(spark, rows, shard_rows=300, block=16) == brute(rows, 20)
 
 
+def test_copies_of_the_longest_vector():
+    """Of thousands of copies the least ids are found, whatever leaf they are in."""
+    rng = np.random.default_rng(4)
+    for dim in (3, 6, 64, 300):
+        for _ in range(10):
+            longest = rng.normal(size=dim)
+            longest /= np.sqrt((longest**2).sum())
+            short = rng.uniform(-0.5, 0.5, size=(100, dim)) / math.sqrt(dim)
+            points, ids = np.concatenate([np.repeat(longest[None], 3000, 0), short]), rng.permutation(3100)
+            tree = vp_search.Tree(ids, points, float(np.sqrt((points**2).sum(1).max())) * (1 + 1e-12))
+            _, who = tree.search(np.stack([longest, longest * 0.3]), np.array([ids[5], -1]), 20, 1.0)
+            copies = np.sort(ids[:3000])
+            assert who[0].tolist() == copies[copies != ids[5]][:20].tolist()
+            assert who[1].tolist() == copies[:20].tolist()
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])]
     assert search(spark, rows) == brute(rows, 20)
