@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: More ranges than this are not broadcast; rows and ranges then meet by bucket.
+#: More parts of ranges than this are not broadcast.
 BROADCAST_RANGES = 20_000
-BUCKET = 4096
+BUCKET_BITS = 12
+BUCKET = 1 << BUCKET_BITS
 
 
 def merged_ranges(ranges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -29,18 +30,18 @@ def merged_ranges(ranges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def outside(rows: DataFrame, ranges: DataFrame, column: str = "global_sequence", lane: str | None = None) -> DataFrame:
     """Rows whose ``column`` lies in none of ``ranges`` (``start, end`` and, if ``lane`` is given, ``range_lane`` or null).
 
-    Few ranges are broadcast after a count; more of them meet the rows by bucket, an equi-join that shuffles.
+    Rows and ranges meet by bucket, an equi-join, so that a row is compared with the ranges of its bucket only.  Few ranges
+    are broadcast, after a count; with more of them both sides are shuffled by bucket.
     """
-    ranges = ranges.withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    ranges = ranges.where("start < end").withColumnsRenamed({"start": "r_start", "end": "r_end"})
     inside = (F.col(column) >= F.col("r_start")) & (F.col(column) < F.col("r_end"))
     if lane:
         inside = inside & (F.col("range_lane").isNull() | (F.col("range_lane") == F.col(lane)))
-    if ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
-        return rows.join(F.broadcast(ranges), inside, "left_anti")
-    spread = ranges.withColumn(
-        "r_bucket", F.explode(F.sequence(F.expr(f"r_start div {BUCKET}"), F.expr(f"(r_end - 1) div {BUCKET}")))
-    )
-    return rows.join(spread, (F.expr(f"{column} div {BUCKET}") == F.col("r_bucket")) & inside, "left_anti")
+    bucket = lambda at: F.shiftright(at, BUCKET_BITS)
+    spread = ranges.withColumn("r_bucket", F.explode(F.sequence(bucket(F.col("r_start")), bucket(F.col("r_end") - 1))))
+    if spread.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
+        spread = F.broadcast(spread)
+    return rows.join(spread, (bucket(F.col(column)) == F.col("r_bucket")) & inside, "left_anti")
 
 
 def visible(journal: DataFrame, cancelled: DataFrame, bound: int) -> DataFrame:

@@ -21,8 +21,7 @@ j AS (
          props AS payload, value, sha256(props) AS event_hash,
          (row_number() OVER c - 1)::INTEGER AS clock,
          coalesce(lag(sha256(props)) OVER c, repeat('0', 64)) AS prev_hash
-  FROM e WINDOW c AS (PARTITION BY user_id, e.event_id % 3 ORDER BY e.event_id)),
-cancelled AS (SELECT i * 100 AS lo, i * 100 + 5 AS hi, CASE WHEN i % 2 = 0 THEN NULL ELSE (i % 3)::INTEGER END AS lane FROM range(2000) t(i))
+  FROM e WINDOW c AS (PARTITION BY user_id, e.event_id % 3 ORDER BY e.event_id))
 """
 
 
@@ -30,27 +29,16 @@ def sql(body: str, *ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([JOURNAL.strip(), *ctes]) + "\n" + body.strip()
 
 
-def cancelled(spark: SparkSession) -> DataFrame:
-    """``start, end``: the first five of every hundred sequences."""
-    return spark.range(2000).select((F.col("id") * 100).alias("start"), (F.col("id") * 100 + 5).alias("end"))
-
-
-def cancelled_by_lane(spark: SparkSession) -> DataFrame:
-    """The same ranges; every other one holds for one lane only."""
-    lane = F.when(F.col("id") % 2 != 0, F.col("id") % 3).cast("int")
-    return spark.range(2000).select((F.col("id") * 100).alias("start"), (F.col("id") * 100 + 5).alias("end"), lane.alias("range_lane"))
-
-
-#: The ranges of ``all_cancelled`` as a common table expression, to follow JOURNAL.
-ALL_CANCELLED = """
-all_cancelled AS (
+#: The ranges of ``cancelled`` as a common table expression, to follow JOURNAL.
+CANCELLED = """
+cancelled AS (
   SELECT i * 100 AS lo, i * 100 + 5 AS hi, CASE WHEN i % 2 = 0 THEN NULL ELSE (i % 3)::INTEGER END AS lane
   FROM (SELECT unnest(range((SELECT coalesce(max(event_id), -1) // 100 + 1 FROM events))) AS i))
 """
 
 
-def all_cancelled(journal: DataFrame) -> DataFrame:
-    """``start, end, range_lane``: the ranges of ``cancelled_by_lane``, up to the last sequence of ``journal``."""
+def cancelled(journal: DataFrame) -> DataFrame:
+    """``start, end, range_lane``: the first five of every hundred sequences of ``journal``, up to its last; every other range holds for one lane only."""
     last = journal.agg(F.max("global_sequence")).first()[0]
     lane = F.when(F.col("id") % 2 != 0, F.col("id") % 3).cast("int")
     ids = journal.sparkSession.range(0 if last is None else last // 100 + 1)

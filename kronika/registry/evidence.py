@@ -243,8 +243,8 @@ def k14(s, d):
 
 
 PLANS = """
-WITH s0 AS (SELECT l_orderkey AS plan, l_linenumber AS position, l_partkey % 6 AS op, l_orderkey FROM lineitem WHERE l_orderkey % 10 = 0),
-de AS (SELECT DISTINCT plan, op, op // 3 AS phase FROM s0 WHERE op <> 5 UNION SELECT plan, 2, 0 FROM s0 WHERE plan % 30 = 0),
+WITH s0 AS (SELECT l_orderkey AS plan, l_linenumber AS position, l_partkey % 6 AS op, l_orderkey FROM lineitem),
+de AS (SELECT DISTINCT plan, op, op // 3 AS phase FROM s0 WHERE op <> 5 UNION SELECT plan, 2, 0 FROM s0 WHERE plan % 3 = 0),
 pr AS (SELECT plan, op, op - 1 AS needs FROM de WHERE op IN (1, 4)),
 pl AS (SELECT plan, op, min(position) AS position, count(*) AS times FROM s0 GROUP BY 1, 2),
 x AS (
@@ -258,11 +258,6 @@ SELECT de.plan, coalesce(arg_min(x.problem, x.rank), 'admitted') AS verdict FROM
 """
 
 
-@R.add("k15_schedules", PLANS)
-def k15(s, d):
-    return schedules(lineitem(s, d).where("l_orderkey % 10 = 0"), 30)
-
-
 def schedules(lines, every):
     """Verdicts on one plan for each order of ``lines``; every so many declare an operation more."""
     rows = lines.select(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("position"), (F.col("l_partkey") % 6).alias("op"))
@@ -273,18 +268,11 @@ def schedules(lines, every):
     return evidence.schedule_problems(declared, rows, needs)
 
 
-@R.add("k15_schedules_of_all_orders", PLANS.replace("WHERE l_orderkey % 10 = 0", "").replace("plan % 30 = 0", "plan % 3 = 0"))
-def k15_all(s, d):
+@R.add("k15_schedules", PLANS)
+def k15(s, d):
     return schedules(lineitem(s, d), 3)
 
 
-@R.add("k16_schedule_levels", "SELECT op, phase, level FROM (VALUES (1::BIGINT, 0, 0), (2, 0, 1), (3, 1, 2), (4, 1, 1), (5, 2, NULL), (6, 2, NULL)) t(op, phase, level)")
-def k16(s, d):
-    declared = s.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (6, 2)], "op long, phase int")
-    needs = s.createDataFrame([(2, 1), (3, 2), (3, 1), (4, 1), (5, 6), (6, 5)], "op long, needs long")
-    return evidence.canonical_order(declared, needs)
-
-
 #: Parts in groups of eight, each in need of the one before; of every fifth group that is whole, the first needs the last.
 LEVELS = """
 WITH p AS (SELECT p_partkey AS op, p_size AS phase, p_partkey // 8 AS g FROM part),
@@ -293,8 +281,8 @@ SELECT op, phase, CASE WHEN g % 5 <> 0 OR last - first < 7 THEN (op - first)::IN
 """
 
 
-@R.add("k16_schedule_levels_of_parts", LEVELS)
-def k16_parts(s, d):
+@R.add("k16_schedule_levels", LEVELS)
+def k16(s, d):
     declared = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("op"), F.col("p_size").alias("phase"))
     key = F.col("op")
     ring = (key % 8 == 0) & (F.expr("op div 8") % 5 == 0)
@@ -303,11 +291,6 @@ def k16_parts(s, d):
     return evidence.canonical_order(declared, needs.join(known, "needs", "left_semi").select("op", "needs"))
 
 
-@R.add("k17_recovery", "SELECT o_custkey AS attempt, CASE WHEN d AND NOT c THEN 'refuse' WHEN d THEN 'completed' WHEN c THEN 'finish_disposition' WHEN s AND NOT p THEN 'refuse' WHEN s THEN 'roll_back' WHEN o_custkey % 3 = 0 THEN 'roll_back' ELSE 'absent' END AS verdict FROM (SELECT o_custkey, bool_or(o_orderkey % 5 = 0) AS p, bool_or(o_orderkey % 7 = 1) AS s, bool_or(o_orderkey % 11 = 2) AS c, bool_or(o_orderkey % 13 = 3) AS d FROM (SELECT * FROM orders WHERE o_orderkey % 4 = 0) GROUP BY 1)")
-def k17(s, d):
-    return recoveries(orders(s, d).where(F.col("o_orderkey") % 4 == 0))
-
-
 def recoveries(some):
     """Verdicts on one attempt for each customer of ``some`` orders."""
     key = F.col("o_orderkey")
@@ -317,7 +300,7 @@ def recoveries(some):
     return evidence.recovery(events, probes)
 
 
-K17_ALL = """
+RECOVERIES = """
 SELECT o_custkey AS attempt, CASE WHEN d AND NOT c THEN 'refuse' WHEN d THEN 'completed' WHEN c THEN 'finish_disposition'
   WHEN s AND NOT p THEN 'refuse' WHEN s THEN 'roll_back' WHEN o_custkey % 3 = 0 THEN 'roll_back' ELSE 'absent' END AS verdict
 FROM (SELECT o_custkey, bool_or(o_orderkey % 5 = 0) AS p, bool_or(o_orderkey % 7 = 1) AS s, bool_or(o_orderkey % 11 = 2) AS c,
@@ -325,8 +308,8 @@ FROM (SELECT o_custkey, bool_or(o_orderkey % 5 = 0) AS p, bool_or(o_orderkey % 7
 """
 
 
-@R.add("k17_recovery_of_all_orders", K17_ALL)
-def k17_all(s, d):
+@R.add("k17_recovery", RECOVERIES)
+def k17(s, d):
     return recoveries(orders(s, d))
 
 

@@ -8,7 +8,7 @@ from ..operators import importing, maintenance, projection, sessions, visibility
 from ..sources.journal import events_journal as journal
 from ..sources.journal import talks_journal
 from ..sources.tables import new_path as stored
-from .base import Registry, cancelled, sql
+from .base import CANCELLED, Registry, cancelled, sql
 
 R = Registry()
 
@@ -208,17 +208,19 @@ g AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (ORDER BY s, e)
 """
 
 
-@R.add("g7_merged_ranges", sql('SELECT min(s) AS start, max(e) AS "end" FROM g GROUP BY island', RANGES))
+@R.add("g7_merged_ranges", sql('SELECT min(s) AS start, max(e) AS "end" FROM g GROUP BY island', CANCELLED, RANGES))
 def g7(s, d):
     move = F.when(F.col("start") % 300 == 0, 95).otherwise(0)
-    return visibility.merged_ranges(cancelled(s).select((F.col("start") + move).alias("start"), (F.col("end") + move).alias("end")))
+    return visibility.merged_ranges(cancelled(journal(s, d)).select((F.col("start") + move).alias("start"), (F.col("end") + move).alias("end")))
 
 
 def segments(s, d):
-    return maintenance.with_segment(journal(s, d), 250)
+    """All rows with their segment, and the segment that is still written to, which is the last."""
+    rows = maintenance.with_segment(journal(s, d), 250)
+    return rows, rows.agg(F.max("segment")).first()[0] or 0
 
 
-SEG = "s AS (SELECT *, global_sequence // 250 AS segment FROM j)"
+SEG = "s AS (SELECT *, global_sequence // 250 AS segment, (SELECT max(event_id) // 250 FROM events) AS active FROM j)"
 
 
 @R.add("h1_merge", sql("SELECT global_sequence, event_hash FROM j"))
@@ -228,26 +230,29 @@ def h1(s, d):
     return s.read.parquet(path)
 
 
-@R.add("h2_retention", sql("SELECT global_sequence, kind FROM s WHERE kind <> 4097 OR segment >= 3", SEG))
+@R.add("h2_retention", sql("SELECT global_sequence, kind FROM s WHERE kind <> 4097 OR segment >= active", SEG))
 def h2(s, d):
-    return maintenance.retain(segments(s, d), F.col("kind") != 0x1001, 3).select("global_sequence", "kind")
+    rows, active = segments(s, d)
+    return maintenance.retain(rows, F.col("kind") != 0x1001, active).select("global_sequence", "kind")
 
 
-@R.add("h3_tombstone", sql("SELECT global_sequence, (CASE WHEN kind = 61441 AND segment < 3 THEN 4094 ELSE kind END)::INTEGER AS kind, event_hash FROM s", SEG))
+@R.add("h3_tombstone", sql("SELECT global_sequence, (CASE WHEN kind = 61441 AND segment < active THEN 4094 ELSE kind END)::INTEGER AS kind, event_hash FROM s", SEG))
 def h3(s, d):
-    return maintenance.tombstone(segments(s, d), F.col("kind") != 0xF001, 3).select("global_sequence", "kind", "event_hash")
+    rows, active = segments(s, d)
+    return maintenance.tombstone(rows, F.col("kind") != 0xF001, active).select("global_sequence", "kind", "event_hash")
 
 
-@R.add("k6_compaction_report", sql("SELECT segment, count(*) AS rows_before, count(*) FILTER (kind <> 4097 OR segment >= 3) AS rows_after, 0::BIGINT AS rows_after_tombstones, CASE WHEN count(*) FILTER (kind <> 4097 OR segment >= 3) < count(*) THEN 'rows_dropped' ELSE 'unchanged' END AS outcome FROM s GROUP BY 1", SEG))
+@R.add("k6_compaction_report", sql("SELECT segment, count(*) AS rows_before, count(*) FILTER (kind <> 4097 OR segment >= active) AS rows_after, 0::BIGINT AS rows_after_tombstones, CASE WHEN count(*) FILTER (kind <> 4097 OR segment >= active) < count(*) THEN 'rows_dropped' ELSE 'unchanged' END AS outcome FROM s GROUP BY 1", SEG))
 def k6(s, d):
-    before = segments(s, d)
-    return maintenance.compaction_report(before, maintenance.retain(before, F.col("kind") != 0x1001, 3))
+    before, active = segments(s, d)
+    return maintenance.compaction_report(before, maintenance.retain(before, F.col("kind") != 0x1001, active))
 
 
-@R.add("h5_fences", sql("SELECT global_sequence FROM j WHERE NOT EXISTS (SELECT 1 FROM cancelled c WHERE global_sequence >= c.lo AND global_sequence < c.hi AND (c.lo // 100) % 3 <> 0)"))
+@R.add("h5_fences", sql("SELECT global_sequence FROM j WHERE NOT EXISTS (SELECT 1 FROM cancelled c WHERE global_sequence >= c.lo AND global_sequence < c.hi AND (c.lo // 100) % 3 <> 0)", CANCELLED))
 def h5(s, d):
+    rows = journal(s, d).select("global_sequence")
     state = F.when(F.expr("start div 100") % 3 == 0, "committed").when(F.expr("start div 100") % 3 == 1, "open").otherwise("cancelled")
-    return maintenance.fenced(journal(s, d).select("global_sequence"), cancelled(s).withColumn("state", state))
+    return maintenance.fenced(rows, cancelled(rows).withColumn("state", state))
 
 
 @R.add("h6_batch_recovery", sql("SELECT global_sequence, batch FROM (SELECT global_sequence, global_sequence // 16 AS batch FROM j) WHERE batch % 5 <> 0"))
@@ -269,16 +274,19 @@ gaps AS (SELECT expected, delivered, greatest(expected, lo) AS shared_from, leas
 """
 
 
-@R.add("f6_cursor_gaps", sql("SELECT * FROM gaps", SEEN))
+@R.add("f6_cursor_gaps", sql("SELECT * FROM gaps", CANCELLED, SEEN))
 def f6(s, d):
-    ranges = cancelled(s)
-    return sessions.gaps(visibility.outside(journal(s, d).select("global_sequence"), ranges), ranges)
+    return seen_gaps(journal(s, d).select("global_sequence"))
 
 
-@R.add("i5_newest_gaps", sql("SELECT * FROM gaps ORDER BY delivered DESC, shared_from DESC LIMIT 8", SEEN))
+def seen_gaps(rows):
+    ranges = cancelled(rows).drop("range_lane")
+    return sessions.gaps(visibility.outside(rows, ranges), ranges)
+
+
+@R.add("i5_newest_gaps", sql("SELECT * FROM gaps ORDER BY delivered DESC, shared_from DESC LIMIT 8", CANCELLED, SEEN))
 def i5(s, d):
-    ranges = cancelled(s)
-    return sessions.newest_gaps(sessions.gaps(visibility.outside(journal(s, d).select("global_sequence"), ranges), ranges), 8)
+    return sessions.newest_gaps(seen_gaps(journal(s, d).select("global_sequence")), 8)
 
 
 ACKS = """

@@ -10,7 +10,7 @@ from ..plans.region import Region
 from ..sources import journal as source
 from ..sources.journal import events_journal as journal
 from ..sources.tables import new_path as stored
-from .base import ALL_CANCELLED, Registry, all_cancelled, cancelled, cancelled_by_lane, sql
+from .base import CANCELLED, Registry, cancelled, sql
 
 R = Registry()
 SHOWN = ("global_sequence", "entity", "scope", "kind", "clock")
@@ -49,12 +49,6 @@ def a9(s, d):
     return bought.select("global_sequence", "entity", F.lit(0xF002).alias("kind"), F.col("event_id").alias("causation_id"), "correlation_id")
 
 
-@R.add("a11_snapshot", sql("SELECT count(*) AS rows, max(global_sequence) AS last_sequence FROM j WHERE global_sequence < 700"))
-def a11(s, d):
-    stored_rows = journal(s, d).select("global_sequence", "event_hash")
-    return source.snapshot(stored_rows, stored(s), 700).select("rows", "last_sequence")
-
-
 #: Sequences that readers with a lag do not see yet.
 LAG = 50
 LAGGED = f"global_sequence < (SELECT max(global_sequence) - {LAG} FROM j)"
@@ -65,8 +59,8 @@ def lagged(rows):
     return (rows.agg(F.max("global_sequence")).first()[0] or 0) - LAG
 
 
-@R.add("a11_snapshot_to_lag", sql(f"SELECT count(*) AS rows, max(global_sequence) AS last_sequence FROM j WHERE {LAGGED}"))
-def a11_lag(s, d):
+@R.add("a11_snapshot", sql(f"SELECT count(*) AS rows, max(global_sequence) AS last_sequence FROM j WHERE {LAGGED}"))
+def a11(s, d):
     rows = journal(s, d).select("global_sequence", "event_hash")
     return source.snapshot(rows, stored(s), lagged(rows)).select("rows", "last_sequence")
 
@@ -102,40 +96,22 @@ for _name, (_where, _condition) in REGIONS.items():
 HIDDEN = "EXISTS (SELECT 1 FROM cancelled c WHERE global_sequence >= c.lo AND global_sequence < c.hi)"
 
 
-@R.add("b9_visible", sql(f"SELECT {COLS} FROM j WHERE global_sequence < 9000 AND NOT {HIDDEN}"))
+@R.add("b9_visible", sql(f"SELECT {COLS} FROM j WHERE {LAGGED} AND NOT {HIDDEN}", CANCELLED))
 def b9(s, d):
-    return shown(visibility.visible(journal(s, d), cancelled(s), 9000))
-
-
-@R.add("b9_visible_on_lane", sql(f"SELECT {COLS}, dag_lane FROM j WHERE dag_lane = 2 AND global_sequence < 8000 AND NOT EXISTS (SELECT 1 FROM cancelled c WHERE global_sequence >= c.lo AND global_sequence < c.hi AND (c.lane IS NULL OR c.lane = dag_lane))"))
-def b9_lane(s, d):
-    return visibility.visible_on_lane(journal(s, d), cancelled_by_lane(s), F.lit(8000), 2).select(*SHOWN, "dag_lane")
-
-
-@R.add("b10_conjunction", sql(f"SELECT {COLS} FROM j WHERE global_sequence < 9000 AND NOT {HIDDEN} AND kind >> 12 = 1 AND clock BETWEEN 0 AND 9 AND dag_lane = 0"))
-def b10(s, d):
-    return shown(query.region(visibility.visible(journal(s, d), cancelled(s), 9000), Region(category=1, clock=(0, 9), lane=0)))
-
-
-ALL_HIDDEN = HIDDEN.replace("cancelled", "all_cancelled")
-
-
-@R.add("b9_visible_to_lag", sql(f"SELECT {COLS} FROM j WHERE {LAGGED} AND NOT {ALL_HIDDEN}", ALL_CANCELLED))
-def b9_lag(s, d):
     rows = journal(s, d)
-    return shown(visibility.visible(rows, all_cancelled(rows).drop("range_lane"), lagged(rows)))
+    return shown(visibility.visible(rows, cancelled(rows).drop("range_lane"), lagged(rows)))
 
 
-@R.add("b9_visible_on_lane_to_lag", sql(f"SELECT {COLS}, dag_lane FROM j WHERE dag_lane = 2 AND {LAGGED} AND NOT EXISTS (SELECT 1 FROM all_cancelled c WHERE global_sequence >= c.lo AND global_sequence < c.hi AND (c.lane IS NULL OR c.lane = dag_lane))", ALL_CANCELLED))
-def b9_lane_lag(s, d):
+@R.add("b9_visible_on_lane", sql(f"SELECT {COLS}, dag_lane FROM j WHERE dag_lane = 2 AND {LAGGED} AND NOT EXISTS (SELECT 1 FROM cancelled c WHERE global_sequence >= c.lo AND global_sequence < c.hi AND (c.lane IS NULL OR c.lane = dag_lane))", CANCELLED))
+def b9_lane(s, d):
     rows = journal(s, d)
-    return visibility.visible_on_lane(rows, all_cancelled(rows), F.lit(lagged(rows)), 2).select(*SHOWN, "dag_lane")
+    return visibility.visible_on_lane(rows, cancelled(rows), F.lit(lagged(rows)), 2).select(*SHOWN, "dag_lane")
 
 
-@R.add("b10_conjunction_to_lag", sql(f"SELECT {COLS} FROM j WHERE {LAGGED} AND NOT {ALL_HIDDEN} AND kind >> 12 = 1 AND clock BETWEEN 0 AND 9 AND dag_lane = 0", ALL_CANCELLED))
-def b10_lag(s, d):
+@R.add("b10_conjunction", sql(f"SELECT {COLS} FROM j WHERE {LAGGED} AND NOT {HIDDEN} AND kind >> 12 = 1 AND clock BETWEEN 0 AND 9 AND dag_lane = 0", CANCELLED))
+def b10(s, d):
     rows = journal(s, d)
-    seen = visibility.visible(rows, all_cancelled(rows).drop("range_lane"), lagged(rows))
+    seen = visibility.visible(rows, cancelled(rows).drop("range_lane"), lagged(rows))
     return shown(query.region(seen, Region(category=1, clock=(0, 9), lane=0)))
 
 
@@ -264,17 +240,8 @@ def c3(s, d):
     return shown(query.page(journal(s, d), Region(), None, 0))
 
 
-@R.add("c6_position_order", sql("SELECT a.global_sequence AS a, b.global_sequence AS b, CASE WHEN a.dag_lane = b.dag_lane AND a.dag_depth = b.dag_depth THEN CASE WHEN a.global_sequence < b.global_sequence THEN 'before' WHEN a.global_sequence > b.global_sequence THEN 'after' ELSE 'equal' END ELSE 'unordered' END AS relation FROM j a JOIN j b ON a.entity = b.entity AND b.global_sequence < 400 AND a.global_sequence < 400"))
+@R.add("c6_position_order", sql("SELECT a.global_sequence AS a, b.global_sequence AS b, CASE WHEN a.dag_lane = b.dag_lane AND a.dag_depth = b.dag_depth THEN CASE WHEN a.global_sequence < b.global_sequence THEN 'before' WHEN a.global_sequence > b.global_sequence THEN 'after' ELSE 'equal' END ELSE 'unordered' END AS relation FROM j a JOIN j b ON b.event_id = a.causation_id"))
 def c6(s, d):
-    few = journal(s, d).where(F.col("global_sequence") < 400).select("entity", "dag_lane", "dag_depth", "global_sequence")
-    a, b = few.alias("a"), few.alias("b")
-    sides = [F.col(f"{x}.{c}") for x in "ab" for c in ("dag_lane", "dag_depth", "global_sequence")]
-    pairs = a.join(b, F.col("a.entity") == F.col("b.entity"))
-    return pairs.select(F.col("a.global_sequence").alias("a"), F.col("b.global_sequence").alias("b"), clocks.position_order(*sides).alias("relation"))
-
-
-@R.add("c6_position_order_of_causes", sql("SELECT a.global_sequence AS a, b.global_sequence AS b, CASE WHEN a.dag_lane = b.dag_lane AND a.dag_depth = b.dag_depth THEN CASE WHEN a.global_sequence < b.global_sequence THEN 'before' WHEN a.global_sequence > b.global_sequence THEN 'after' ELSE 'equal' END ELSE 'unordered' END AS relation FROM j a JOIN j b ON b.event_id = a.causation_id"))
-def c6_causes(s, d):
     """Every event of the table that has a cause, against that cause."""
     rows = journal(s, d).select("event_id", "causation_id", "dag_lane", "dag_depth", "global_sequence")
     a, b = rows.alias("a"), rows.alias("b")
@@ -346,12 +313,14 @@ def d5(s, d):
     "d9_range_overlap",
     sql(
         "SELECT w.lo, w.hi, c.lo AS start, c.hi AS \"end\", greatest(w.lo, c.lo) AS shared_from, least(w.hi, c.hi) AS shared_to FROM w JOIN cancelled c ON greatest(w.lo, c.lo) < least(w.hi, c.hi)",
+        CANCELLED,
         "w AS (SELECT global_sequence AS lo, global_sequence + 7 AS hi FROM j WHERE kind = 8194)",
     ),
 )
 def d9(s, d):
-    spans = journal(s, d).where(F.col("kind") == 0x2002).select(F.col("global_sequence").alias("lo"), (F.col("global_sequence") + 7).alias("hi"))
-    return visibility.overlaps(spans, cancelled(s))
+    rows = journal(s, d)
+    spans = rows.where(F.col("kind") == 0x2002).select(F.col("global_sequence").alias("lo"), (F.col("global_sequence") + 7).alias("hi"))
+    return visibility.overlaps(spans, cancelled(rows).drop("range_lane"))
 
 
 @R.add("d14_scope_entities", sql("SELECT DISTINCT entity, scope FROM j WHERE scope = 'day:2024-01-02'"))

@@ -17,7 +17,9 @@ few = settings(max_examples=8, deadline=None)
 
 @pytest.fixture(scope="module")
 def journal(spark):
-    return source.events_journal(spark, SF).cache()
+    rows = source.events_journal(spark, SF).cache()
+    yield rows
+    rows.unpersist()
 
 
 def number():

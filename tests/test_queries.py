@@ -61,7 +61,7 @@ def over(path, sql):
     return db.execute(sql)
 
 
-@pytest.mark.parametrize("name", ["a11_snapshot_to_lag", "b9_visible_to_lag", "b9_visible_on_lane_to_lag", "b10_conjunction_to_lag", "c6_position_order_of_causes"])
+@pytest.mark.parametrize("name", ["a11_snapshot", "b9_visible", "b9_visible_on_lane", "b10_conjunction", "c6_position_order"])
 def test_bounds_follow_the_table(spark, tmp_path, name):
     """No sequence is too high for the visibility bound, the cancelled ranges and the pairs."""
     path = far_events(spark, tmp_path / "far", "event_id + 300000")

@@ -1,90 +1,107 @@
-"""Region queries against a linear scan of a fixed corpus; pages; identities."""
+"""Region queries against a scan by hand of a seeded journal; pages; identities."""
 
-import itertools
+import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from kronika.operators import query
 from kronika.plans.region import Region
 
-MASK = (1 << 64) - 1
+# Namespaces beside look-alikes of each other, one with the separator at its end, and no scope at all.
+ENTITIES = ["shop", "shop:7", "shop:7:till", "shop:70", "shopping:7", "depot", "depot:", "Depot:1"]
+SCOPES = ["open", "open:late", "closed", None]
+KINDS = [0x1ABC, 0x1ABD, 0x2ABC, 0xE000, 0xEFFF]
 
 
-def corpus():
-    """120 rows of a 64-bit xorshift stream."""
-    state, clocks, rows = 0x123456789ABCDEF0, {}, []
+def journal_rows():
+    """250 rows; several lanes share a clock, sequences have holes."""
+    rng = random.Random("regions")
+    at, rows = 0, []
+    for n in range(250):
+        at += rng.choice([1, 1, 1, 2, 9])
+        rows.append((at, rng.choice(ENTITIES), rng.choice(SCOPES), rng.choice(KINDS), n // 8, rng.randint(0, 3)))
+    return rows
 
-    def draw():
-        nonlocal state
-        state ^= (state << 13) & MASK
-        state ^= state >> 7
-        state ^= (state << 17) & MASK
-        return state
 
-    for i in range(120):
-        entity = ("entity:alpha", "entity:bravo", "entity:charlie")[draw() % 3]
-        scope = ("scope:X", "scope:Y", "scope:Z")[draw() % 3]
-        kind = (0x5001, 0x5002, 0x6001)[draw() % 3]
-        clock = clocks.get(entity, 0)
-        clocks[entity] = clock + 1
-        rows.append((i, entity, scope, kind, clock, i % 3))
-    return rows
+ROWS = journal_rows()
 
 
 @pytest.fixture(scope="module")
 def journal(spark):
     schema = "global_sequence long, entity string, scope string, kind int, clock int, dag_lane int"
-    return spark.createDataFrame(corpus(), schema).cache()
-
-
-def holds(r, where):
-    i, entity, scope, kind, clock, lane = r
-    return (
-        (where.entity is None or entity == where.entity or entity.startswith(where.entity + ":"))
-        and where.scope in (None, scope)
-        and where.kind in (None, kind)
-        and (where.category is None or kind >> 12 == where.category)
-        and (where.clock is None or where.clock[0] <= clock <= where.clock[1])
-        and where.lane in (None, lane)
-    )
-
-
-REGIONS = [
-    Region(entity=e, scope=s, clock=c, lane=lane, **k)
-    for e, s, c, lane, k in itertools.product(
-        (None, "entity", "entity:alpha", "entity:al"), (None, "scope:Y"), (None, (3, 9)), (None, 1), ({}, {"kind": 0x5002}, {"category": 5})
-    )
-]
-
-
-def test_regions_against_a_scan(journal):
-    rows = corpus()
-    for where in REGIONS:
-        got = [r.global_sequence for r in query.region(journal, where).select("global_sequence").collect()]
-        assert sorted(got) == [r[0] for r in rows if holds(r, where)], where
-
-
-def test_pages_make_up_the_query(journal):
-    where = Region(category=5)
-    want = [r[0] for r in corpus() if holds(r, where)]
+    rows = spark.createDataFrame(ROWS, schema).repartition(3).cache()
+    yield rows
+    rows.unpersist()
+
+
+def by_hand(where):
+    out = []
+    for at, entity, scope, kind, clock, lane in ROWS:
+        checks = [
+            where.entity is None or entity == where.entity or entity[: len(where.entity) + 1] == f"{where.entity}:",
+            where.scope is None or scope == where.scope,
+            where.kind is None or kind == where.kind,
+            where.category is None or f"{kind:04x}"[0] == f"{where.category:x}",
+            where.clock is None or clock in range(where.clock[0], where.clock[1] + 1),
+            where.lane is None or lane == where.lane,
+        ]
+        if all(checks):
+            out.append(at)
+    return out
+
+
+facts = st.sampled_from([{}, {"any_kind": True}, *({"kind": k} for k in KINDS), *({"category": c} for c in (1, 2, 5, 14))])
+wheres = st.builds(
+    lambda fact, **rest: Region(**rest, **fact),
+    facts,
+    entity=st.sampled_from([None, *ENTITIES, "sho", "nobody"]),
+    scope=st.sampled_from([None, "open", "closed", "ope"]),
+    clock=st.sampled_from([None, (0, 0), (4, 19), (30, 99)]),
+    lane=st.sampled_from([None, 0, 3, 7]),
+)
+
+
+@settings(max_examples=25, deadline=None)
+@given(where=wheres)
+def test_regions_against_a_scan_by_hand(journal, where):
+    got = query.region(journal, where).select("global_sequence").collect()
+    assert sorted(r[0] for r in got) == by_hand(where)
+
+
+@pytest.mark.parametrize("where", [Region(entity="shop"), Region(entity="depot"), Region(scope="open"), Region(category=14), Region(lane=2, clock=(5, 5))])
+def test_look_alikes(journal, where):
+    want = by_hand(where)
+    assert want and sorted(r[0] for r in query.region(journal, where).select("global_sequence").collect()) == want
+
+
+@pytest.mark.parametrize("limit", [1000, 41])
+def test_pages_make_up_the_query(journal, limit):
+    where = Region(entity="shop", any_kind=True)
     got, after = [], None
-    while page := [r.global_sequence for r in query.page(journal, where, after, 17).collect()]:
-        got += page
-        after = page[-1]
-    assert got == want
-    assert query.page(journal, where, None, 0).count() == 0
+    while page := [r[0] for r in query.page(journal, where, after, limit).select("global_sequence").collect()]:
+        got, after = got + page, page[-1]
+    assert got == by_hand(where)
+    assert query.page(journal, where, after, limit).isEmpty()
 
 
 def test_live_regions_ignore_clocks(journal):
-    assert journal.where(Region(clock=(500, 600)).predicate(live=True)).count() == 120
+    late = Region(clock=(10_000, 10_001))
+    assert journal.where(late.predicate(live=True)).count() == len(ROWS) and journal.where(late.predicate()).isEmpty()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(wheres, max_size=12))
+def test_identities_differ(some):
+    assert len({r.identity() for r in some}) == len(some)
 
 
-def test_identities_differ():
-    every = [*REGIONS, Region(any_kind=True), Region(entity="a|scope=1:b"), Region(entity="a", scope="b")]
-    assert len({r.identity() for r in every}) == len(every)
+def test_identities_are_delimited():
+    assert Region(entity="x|scope=1:y").identity() != Region(entity="x", scope="y").identity() != Region(entity="xscope", scope="y").identity()
 
 
-@pytest.mark.parametrize("bad", [{"clock": (2, 1)}, {"category": 16}, {"category": 1, "kind": 5}])
+@pytest.mark.parametrize("bad", [{"clock": (9, 8)}, {"category": -1}, {"category": 99}, {"any_kind": True, "kind": 1}])
 def test_bad_regions(bad):
     with pytest.raises(ValueError):
         Region(**bad)
