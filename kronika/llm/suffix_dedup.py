@@ -19,17 +19,18 @@ packed, by cell of the seed; a seed with many different runs in a task is freque
 strings of seeds with more than ``FREQUENT_RANKS`` ranks do, so that no seed is held by one task.
 
 Defined results: null texts are empty; texts shorter than ``length`` bytes lose nothing; a null id sorts first; rows that share an
-id count as one document for what is earlier, and an exact repeat of a row loses no more than the row; an empty table gives an empty
+id, or have none, count as one document for what is earlier (by the place in their text), and an exact repeat of a row loses no more
+than the row; of texts of any length only the sampled runs are held; an empty table gives an empty
 result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,58 +109,74 @@ FREQUENT = 8
 TASK_RUNS, CELLS = 400_000, 16
 
 
+def variant_of(text: bytes) -> int:
+    """Tells texts of one id apart; with 64 bits of a digest, as millions of rows may share an id or have none."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
 class Found:
     """The sampled runs of one task, as arrays."""
 
-    NAMES = ("g", "c", "doc", "at", "span")
+    NAMES = ("g", "c", "doc", "variant", "p", "span")
+    KINDS = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
 
     def add(self, doc: int, text: bytes, length: int) -> None:
-        variant = (zlib.crc32(text) & 0x7FFF) << 32
+        variant = variant_of(text)
         for offset, data in chunks(text, length):
             first, last, g, c = sampled_runs(data, length)
-            self.parts.append((g, c, np.full(len(g), doc), first + offset + variant, (last - first).astype(np.int32)))
+            same = np.full((2, len(g)), [[doc], [variant]])
+            self.parts.append((g, c, *same, (first + offset).astype(np.int32), (last - first).astype(np.int32)))
 
     def size(self) -> int:
         return sum(len(p[0]) for p in self.parts)
 
     def split(self, length: int):
         """(rows decided, rows of frequent seeds, all other rows, seeds that are frequent)."""
-        g, c, doc, at, span = map(np.concatenate, zip(*self.parts))
-        p = at & 0xFFFFFFFF
+        runs = [np.concatenate(x) for x in zip(*self.parts)]
+        g, c, doc, variant, p, span = runs
         order = np.lexsort((p, doc, c, g))
-        g, c, doc, at, span, p = (x[order] for x in (g, c, doc, at, span, p))
+        g, c, doc, variant, p, span = (x[order] for x in runs)
         again = np.append(False, (g[1:] == g[:-1]) & (c[1:] == c[:-1]))
         lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(g))))
         later = again & ((doc != doc[lead]) | (p != p[lead]))
-        decided = joined_runs(doc[later], at[later], span[later])
-        g, c, doc, at, span = (x[~later] for x in (g, c, doc, at, span))
-        seeds, place, times = np.unique(g, return_inverse=True, return_counts=True)
+        decided = joined_runs(*(x[later] for x in (doc, variant, p, span)))
+        rest = [x[~later] for x in (g, c, doc, variant, p, span)]
+        seeds, place, times = np.unique(rest[0], return_inverse=True, return_counts=True)
         many = times >= FREQUENT
         hot = many[place]
-        return decided, tuple(x[hot] for x in (g, c, doc, at, span)), tuple(x[~hot] for x in (g, c, doc, at, span)), seeds[many]
+        return decided, tuple(x[hot] for x in rest), tuple(x[~hot] for x in rest), seeds[many]
 
 
-def joined_runs(doc: np.ndarray, at: np.ndarray, span: np.ndarray):
+def joined_runs(doc: np.ndarray, variant: np.ndarray, p: np.ndarray, span: np.ndarray):
     """Runs that follow each other in one text as one."""
-    order = np.lexsort((at, doc))
-    doc, at, span = doc[order], at[order], span[order].astype(np.int64)
+    order = np.lexsort((p, variant, doc))
+    doc, variant, p, span = (x[order].astype(np.int64) for x in (doc, variant, p, span))
     if not len(doc):
-        return doc, at, span
-    new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + span[:-1] + 1))
+        return doc, variant, p, span
+    new = np.append(True, (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1]) | (p[1:] > p[:-1] + span[:-1] + 1))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], at[first], at[last] + span[last] - at[first]
+    return doc[first], variant[first], p[first], p[last] + span[last] - p[first]
 
 
-ROW = "kind int, cell int, g long, c long, doc long, at long, span long, packed binary"
+ROW = "kind int, cell int, g long, c long, doc long, variant long, p long, span long, packed binary"
 PACKED, NOTICE, FREQUENT_RUN, DECIDED = range(4)
 
 
-def rows_of(kind: int, n: int, **columns) -> pd.DataFrame:
-    return pd.DataFrame({"kind": np.full(n, kind), **{c: columns.get(c) for c in ("cell", "g", "c", "doc", "at", "span", "packed")}})
+def as_batch(schema: str, **columns) -> pa.RecordBatch:
+    """Columns in the order of ``schema``, of its types whatever they hold; those not given are null."""
+    n = max(map(len, columns.values()))
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    arrays = [pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields]
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+
+def rows_of(kind: int, n: int, **columns) -> pa.RecordBatch:
+    return as_batch(ROW, kind=np.full(n, kind, np.int32), **columns)
 
 
 def sampled(docs: DataFrame, length: int, cells: int) -> DataFrame:
@@ -174,7 +191,7 @@ def sampled(docs: DataFrame, length: int, cells: int) -> DataFrame:
     def emitted(found: Found):
         decided, hot, rest, seeds = found.split(length)
         spread = lambda x: (mixed(x.view(np.uint64)) % np.uint64(cells)).astype(np.int32)
-        yield rows_of(DECIDED, len(decided[0]), cell=spread(decided[1]), **dict(zip(("doc", "at", "span"), decided)))
+        yield rows_of(DECIDED, len(decided[0]), cell=spread(decided[1] + decided[2]), **dict(zip(Found.NAMES[2:], decided)))
         yield rows_of(FREQUENT_RUN, len(hot[0]), cell=spread(hot[1]), **dict(zip(Found.NAMES, hot)))
         yield rows_of(NOTICE, len(seeds), cell=cell_of(seeds), g=seeds)
         cell = cell_of(rest[0])
@@ -190,7 +207,7 @@ def sampled(docs: DataFrame, length: int, cells: int) -> DataFrame:
     def run(batches):
         found = Found()
         for batch in batches:
-            for doc, text in zip(batch["doc"], batch["text"]):
+            for doc, text in zip(*(c.to_pylist() for c in batch.select(["doc", "text"]).columns)):
                 found.add(doc, text.encode(), length)
             if found.size() > 4_000_000:
                 yield from emitted(found)
@@ -198,40 +215,40 @@ def sampled(docs: DataFrame, length: int, cells: int) -> DataFrame:
         if found.parts:
             yield from emitted(found)
 
-    return docs.where(F.octet_length("text") >= length).mapInPandas(run, ROW)
+    return docs.where(F.octet_length("text") >= length).mapInArrow(run, ROW)
 
 
 def unpacked(blob: bytes):
-    n = len(blob) // 36
-    cuts = np.cumsum([0, 8 * n, 8 * n, 8 * n, 8 * n, 4 * n])
-    kinds = (np.int64, np.int64, np.int64, np.int64, np.int32)
-    return tuple(np.frombuffer(blob[a:b], k) for a, b, k in zip(cuts, cuts[1:], kinds))
+    widths = [np.dtype(k).itemsize for k in Found.KINDS]
+    cuts = np.cumsum([0, *widths]) * (len(blob) // sum(widths))
+    return tuple(np.frombuffer(blob[a:b], k) for a, b, k in zip(cuts, cuts[1:], Found.KINDS))
+
+
+RUN = "g long, c long, doc long, variant long, p long, span long, decided boolean"
 
 
 def living(docs: DataFrame, length: int, cells: int) -> DataFrame:
-    """``g, c, doc, at, span, decided`` of runs whose seed is not unique in the corpus."""
+    """``RUN``: runs whose seed is not unique in the corpus."""
 
     def run(batches):
         packed, seeds = [], []
         for batch in batches:
-            own = batch["kind"]
-            packed += [unpacked(b) for b in batch.loc[own == PACKED, "packed"]]
-            seeds += batch.loc[own == NOTICE, "g"].tolist()
-            passing = batch.loc[(own == FREQUENT_RUN) | (own == DECIDED)]
+            own = batch["kind"].to_numpy()
+            packed += [unpacked(b) for b in batch["packed"].drop_null().to_pylist()]
+            seeds += batch["g"].filter(pa.array(own == NOTICE)).to_pylist()
+            passing = batch.filter(pa.array((own == FREQUENT_RUN) | (own == DECIDED)))
             if len(passing):
-                yield passing.assign(decided=passing["kind"] == DECIDED)[["g", "c", "doc", "at", "span", "decided"]]
+                decided = passing["kind"].to_numpy() == DECIDED
+                yield as_batch(RUN, **{n: passing[n] for n in Found.NAMES}, decided=decided)
         if packed:
-            g, c, doc, at, span = map(np.concatenate, zip(*packed))
+            g, c, doc, variant, p, span = map(np.concatenate, zip(*packed))
             _, place, times = np.unique(g, return_inverse=True, return_counts=True)
             keep = (times[place] > 1) | np.isin(g, np.array(seeds, np.int64))
-            yield pd.DataFrame({"g": g[keep], "c": c[keep], "doc": doc[keep], "at": at[keep], "span": span[keep].astype(np.int64), "decided": False})
+            held = dict(zip(Found.NAMES, (x[keep] for x in (g, c, doc, variant, p.astype(np.int64), span.astype(np.int64)))))
+            yield as_batch(RUN, **held, decided=np.zeros(keep.sum(), bool))
 
     met = sampled(docs, length, cells).repartition(cells // CELLS, "cell")
-    return met.mapInPandas(run, "g long, c long, doc long, at long, span long, decided boolean")
-
-
-def place(column: str = "at"):
-    return F.col(column).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    return met.mapInArrow(run, RUN)
 
 
 def repeats(docs: DataFrame, length: int) -> DataFrame:
@@ -240,19 +257,18 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     cells = CELLS * max(8, int(size * 0.03 / TASK_RUNS) + 1)
     live = materialize(living(docs, length, cells), "runs")
     open_ = live.where(~F.col("decided"))
-    ranks = materialize(
-        open_.groupBy("g", "c").agg(F.min(F.struct("doc", place().alias("p"))).alias("earliest")), "ranks"
-    )
+    ranks = materialize(open_.groupBy("g", "c").agg(F.min(F.struct("doc", "p")).alias("earliest")), "ranks")
     shared = ranks.groupBy("g").agg(F.count(F.lit(1)).alias("ranks"))
+    names = ["doc", "variant", "p", "g", "span", "sure", "frequent"]
     rows = (
         open_.join(ranks, ["g", "c"])
         .join(shared, "g")
-        .withColumn("sure", (F.col("doc") != F.col("earliest.doc")) | (place() != F.col("earliest.p")))
+        .withColumn("sure", (F.col("doc") != F.col("earliest.doc")) | (F.col("p") != F.col("earliest.p")))
         .where("sure or ranks > 1")
-        .select("doc", "at", "g", "span", "sure", (F.col("ranks") > FREQUENT_RANKS).alias("frequent"))
-        .unionByName(live.where("decided").select("doc", "at", "g", "span", F.lit(True).alias("sure"), F.lit(False).alias("frequent")))
+        .withColumn("frequent", F.col("ranks") > FREQUENT_RANKS)
     )
-    return rows.select("doc", F.shiftright("at", 32).cast("int").alias("variant"), place().alias("p"), "g", "span", "sure", "frequent")
+    decided = live.where("decided").withColumns({"sure": F.lit(True), "frequent": F.lit(False)})
+    return rows.select(*names).unionByName(decided.select(*names))
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -276,7 +292,16 @@ def summary(text: bytes, ranges: list[tuple[int, int]]) -> dict:
     return {"n_bytes": len(text), "n_removed": gone, "n_spans": len(ranges), "kept_sha256": kept.hexdigest()}
 
 
+CONTEXT = "doc long, variant long, g long, p long, context binary, frequent boolean"
+TEXT = "doc long, variant long, text binary"
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SPAN = pa.struct({"g": pa.int64(), "p": pa.int64(), "span": pa.int64(), "frequent": pa.bool_()})
+#: What the first pass gives: a result, or a text that waits with its open runs and the ranges that are sure.
+FIRST = pa.schema(
+    {n: pa.int64() for n in ("doc", "variant", "n_bytes", "n_removed", "n_spans")}
+    | {"kept_sha256": pa.string(), "text": pa.binary(), "open": pa.list_(SPAN)}
+    | {"ranges": pa.list_(pa.struct({"a": pa.int64(), "b": pa.int64()}))}
+)
 
 
 def compressed(text: bytes) -> bytes:
@@ -289,15 +314,15 @@ def contexts(waiting: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for doc, variant, text, spans in zip(batch["doc"], batch["variant"], batch["text"], batch["open"]):
+            for doc, variant, text, spans in zip(*(batch[c].to_pylist() for c in ("doc", "variant", "text", "open"))):
                 text = zstandard.decompress(text)
                 for s in spans:
                     out.append((doc, variant, s["g"], s["p"], text[s["p"] : s["p"] + s["span"] + length], s["frequent"]))
-            yield pd.DataFrame(out, columns=["doc", "variant", "g", "p", "context", "frequent"])
+            if out:
+                names = [f.split()[0] for f in CONTEXT.split(", ")]
+                yield as_batch(CONTEXT, **dict(zip(names, zip(*out))))
 
-    return waiting.select("doc", "variant", "text", "open").mapInPandas(
-        run, "doc long, variant int, g long, p long, context binary, frequent boolean"
-    )
+    return waiting.select("doc", "variant", "text", "open").mapInArrow(run, CONTEXT)
 
 
 def every_string(rows: pd.DataFrame, length: int):
@@ -360,7 +385,7 @@ def later_strings(rows: DataFrame, length: int) -> DataFrame:
         rows.select("doc", "variant", "g", "p", "context")
         .repartition("g")
         .sortWithinPartitions("g", "doc", "p")
-        .mapInPandas(run, "doc long, variant int, a long, b long")
+        .mapInPandas(run, "doc long, variant long, a long, b long")
     )
 
 
@@ -379,7 +404,7 @@ def later_rows(rows: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame({"doc": batch["doc"].to_numpy()[row], "variant": batch["variant"].to_numpy()[row], "p": batch["p"].to_numpy()[row] + inside, **parts, "check": check})
 
     rows = rows.select("doc", "variant", "p", "context").mapInPandas(
-        quarters, "doc long, variant int, p long, q0 long, q1 long, q2 long, q3 long, check long"
+        quarters, "doc long, variant long, p long, q0 long, q1 long, q2 long, q3 long, check long"
     )
     for prefix in (["q0"], ["q0", "q1"]):
         times = rows.groupBy(prefix).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -406,28 +431,29 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     def keyed(batches):
         for batch in batches:
-            texts = [t.encode() for t in batch["text"]]
-            yield pd.DataFrame({"doc": batch["doc"], "variant": [zlib.crc32(t) & 0x7FFF for t in texts], "text": [*map(compressed, texts)]})
+            texts = [t.encode() for t in batch["text"].to_pylist()]
+            yield as_batch(TEXT, doc=batch["doc"], variant=[*map(variant_of, texts)], text=[*map(compressed, texts)])
 
     def first_pass(batches):
         for batch in batches:
             rows = []
-            for text, sure, open_ in zip(batch["text"], batch["sure"], batch["open"]):
-                p = np.array([s["p"] for s in sure], np.int64) if sure is not None else np.empty(0, np.int64)
-                span = np.array([s["span"] for s in sure], np.int64) if sure is not None else p
+            for text, sure, open_ in zip(*(batch[c].to_pylist() for c in ("text", "sure", "open"))):
+                p, span = (np.array([s[x] for s in sure or ()], np.int64) for x in ("p", "span"))
                 ranges = merged(p, p + span + length)
-                if open_ is not None and len(open_):
+                if open_:
                     rows.append({"text": text, "open": open_, "ranges": [{"a": a, "b": b} for a, b in ranges]})
                 else:
-                    rows.append({**summary(zstandard.decompress(text), ranges), "text": None, "open": None, "ranges": None})
-            got = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "open", "ranges"])
-            yield pd.concat([batch[["doc", "variant"]].reset_index(drop=True), got], axis=1)
+                    rows.append(summary(zstandard.decompress(text), ranges))
+            fields = list(FIRST)
+            found = [pa.array([r.get(f.name) for r in rows], f.type) for f in fields[2:]]
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["variant"], *found], schema=FIRST)
 
-    texts = docs.select("doc", "text").mapInPandas(keyed, "doc long, variant int, text binary")
+    texts = docs.select("doc", "text").mapInArrow(keyed, TEXT)
+    met = texts.join(listed, ["doc", "variant"], "left").select("doc", "variant", "text", "sure", "open")
     state = materialize(
-        texts.join(listed, ["doc", "variant"], "left").mapInPandas(
+        met.mapInArrow(
             first_pass,
-            f"doc long, variant int, {RESULT}, text binary, "
+            f"doc long, variant long, {RESULT}, text binary, "
             "open array<struct<g:long,p:long,span:long,frequent:boolean>>, ranges array<struct<a:long,b:long>>",
         ),
         "first-pass",
@@ -440,17 +466,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     def second_pass(batches):
         for batch in batches:
             rows = []
-            for text, ranges, later in zip(batch["text"], batch["ranges"], batch["later"]):
-                both = [*ranges, *(later if later is not None else [])]
-                a, b = (np.array([r[x] for r in both], np.int64) for x in "ab")
+            for text, ranges, later in zip(*(batch[c].to_pylist() for c in ("text", "ranges", "later"))):
+                a, b = (np.array([r[x] for r in (*ranges, *(later or ()))], np.int64) for x in "ab")
                 rows.append(summary(zstandard.decompress(text), merged(a, b)))
-            yield pd.concat([batch[["doc"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
+            yield as_batch(f"doc long, {RESULT}", doc=batch["doc"], **{c: [r[c] for r in rows] for c in columns[1:]})
 
-    settled = waiting.select("doc", "variant", "text", "ranges").join(later, ["doc", "variant"], "left")
     columns = ["doc", *(c.split()[0] for c in RESULT.split(", "))]
+    settled = waiting.select("doc", "variant", "text", "ranges").join(later, ["doc", "variant"], "left")
     result = (
         state.where("text is null")
         .select(*columns)
-        .unionByName(settled.select("doc", "text", "ranges", "later").mapInPandas(second_pass, f"doc long, {RESULT}"))
+        .unionByName(settled.select("doc", "text", "ranges", "later").mapInArrow(second_pass, f"doc long, {RESULT}"))
     )
     return result.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), *columns[1:])

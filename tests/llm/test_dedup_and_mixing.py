@@ -215,6 +215,38 @@ def test_repeated_strings(spark, monkeypatch, chunk, frequent, ranks):
     assert got == repeats_by_hand(rows, 100)
 
 
+def repeats_of_rows(rows, length):
+    """(id, bytes, bytes removed) of each row where rows may share an id: a string counts as earlier by (id, place)."""
+    order = lambda i, p: (i is not None, i or 0, p)
+    first = {}
+    for i, text in rows:
+        for p in range(len(text) - length + 1):
+            key = text[p : p + length]
+            first[key] = min(first.get(key, (True, 1 << 62, 0)), order(i, p))
+    out = []
+    for i, text in rows:
+        gone = bytearray(len(text))
+        for p in range(len(text) - length + 1):
+            if first[text[p : p + length]] < order(i, p):
+                gone[p : p + length] = b"\1" * length
+        out.append((i, len(text), sum(gone), hashlib.sha256("".join(c for c, g in zip(text, gone) if not g).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("ids, holders", [("unique", 1), ("unique", 2), ("none", 1), ("none", 2), ("few", 2)])
+def test_a_passage_in_many_rows(spark, ids, holders):
+    """A footer of every page (all texts of a batch wait for ranks), and many rows of one id or of none."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = []
+    for n in range(1500):
+        own = "".join(rng.choice("klmnopq ") for _ in range(rng.randint(40, 160)))
+        cut = rng.randint(0, len(own))
+        rows.append(({"unique": n, "none": None, "few": n % 3}[ids], own[:cut] + passage + own[cut:] if n % holders == 0 else own))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=str) == repeats_of_rows(rows, 100)
+
+
 def test_empty_tables(spark):
     empty = docs_of(spark, [])
     assert exact_dedup.dedup(empty).count() == 0
