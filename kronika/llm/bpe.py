@@ -7,16 +7,21 @@ no pair is left.  An ordered aggregation over the resulting ids gives the encode
 with the vocabulary, the bytes that they decode to.  A piece that is itself in the vocabulary
 is its own token, as in the public encoder.
 
+Long pieces (base64, DNA, lines of one sign) are encoded in overlapping chunks.  A sequence of tokens is the encoding of its bytes if and
+only if every two neighbours are the encoding of theirs, so two chunks are joined where both have a boundary and the tokens beside
+it pass that test; where they have none, another chunk is begun at a boundary of the first.
+
 The rank table is read once on the driver from ``path`` and broadcast; its size is that of the vocabulary.
 
-Defined results: a null text counts as empty and gives no tokens; repeated rows are encoded alike;
-an empty table gives an empty result.  Only the id and text columns are read.
+Defined results: a null text counts as empty and gives no tokens; repeated rows are encoded alike; texts and pieces of any length
+are worked on in bounded parts, in time that grows in proportion; an empty table gives an empty result.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -31,8 +36,10 @@ from .storage import small_batches
 #: Pieces a worker keeps between batches, and pieces that go to DuckDB at once.
 KEPT_PIECES = 400_000
 PIECES_AT_ONCE = 20_000
-#: Pieces of more bytes are contracted at all places of their least rank in each round.
-LONG = 200
+#: Pieces of more bytes are encoded in chunks of ``2 * STEP`` bytes, one from every ``STEP`` bytes on, so that rounds do not grow with
+#: the piece; so many bytes of a piece, or characters of texts, at a time.
+LONG, STEP = 200, 64
+FRESH, SEGMENT, TEXT_AT_ONCE = 256, 1 << 17, 4_000_000
 
 ENCODE = """
 WITH RECURSIVE steps AS (
@@ -52,34 +59,6 @@ WITH RECURSIVE steps AS (
 SELECT piece, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM steps WHERE done GROUP BY piece
 """
 
-#: The same for long pieces, in fewer rounds: all places of a piece's least rank are contracted at once, every other one from the
-#: left where they overlap.  Only the leftmost is where the new token could be part of a pair of lesser rank (``alone``).
-ENCODE_LONG = """
-WITH RECURSIVE steps AS (
-  SELECT piece, pos, tok, false AS done FROM started
-  UNION ALL
-  (WITH pairs AS (
-     SELECT s.*, m.rank, m.alone
-     FROM (SELECT piece, pos, tok, lead(tok) OVER o AS follower, row_number() OVER o AS nth
-           FROM steps WHERE NOT done WINDOW o AS (PARTITION BY piece ORDER BY pos)) s
-     LEFT JOIN merges m ON m.a = s.tok AND m.b = s.follower),
-   least AS (SELECT piece, min(rank) AS best FROM pairs GROUP BY piece),
-   hits AS (
-     SELECT p.piece, p.pos, p.alone, row_number() OVER h AS hit, p.nth - row_number() OVER h AS run
-     FROM pairs p JOIN least l ON l.piece = p.piece AND l.best = p.rank WINDOW h AS (PARTITION BY p.piece ORDER BY p.pos)),
-   chosen AS (
-     SELECT piece, pos FROM (SELECT *, row_number() OVER (PARTITION BY piece, run ORDER BY pos) AS place FROM hits)
-     WHERE CASE WHEN alone THEN hit = 1 ELSE place % 2 = 1 END)
-   SELECT p.piece, pos, CASE WHEN first THEN best ELSE tok END, best IS NULL
-   FROM (SELECT p.piece, p.pos, p.tok, c.pos IS NOT NULL AS first,
-                lag(c.pos IS NOT NULL, 1, false) OVER (PARTITION BY p.piece ORDER BY p.pos) AS second
-         FROM pairs p LEFT JOIN chosen c ON c.piece = p.piece AND c.pos = p.pos) p
-   JOIN least l ON l.piece = p.piece
-   WHERE NOT second)
-)
-SELECT piece, string_agg(tok::VARCHAR, ' ' ORDER BY pos) AS ids FROM steps WHERE done GROUP BY piece
-"""
-
 DECODE = """
 SELECT piece, string_agg(v.hexed, '' ORDER BY nth) AS hexed
 FROM (SELECT piece, unnest(toks)::INTEGER AS tok, unnest(range(len(toks))) AS nth
@@ -117,6 +96,30 @@ class Splitter:
             return self.plain.findall(text)
         return self.full.findall(text)
 
+    def some(self, text: str, n: int):
+        """The same in lists of ``n`` pieces."""
+        found = (m[0] for m in self.full.finditer(text))
+        while pieces := list(itertools.islice(found, n)):
+            yield pieces
+
+
+def is_long(piece: str) -> bool:
+    return len(piece) > LONG // 4 and len(piece.encode()) > LONG
+
+
+def is_huge(piece: str) -> bool:
+    """Too long to be kept whole."""
+    return len(piece) > SEGMENT // 4
+
+
+def chunks_in(data: bytes) -> int:
+    return max(-(-len(data) // STEP) - 1, 1)
+
+
+def shared(n: int, where: dict[int, int], at: dict[int, int], after: int) -> list[int]:
+    """Boundaries that chunk ``n`` has in common with another, those in the middle of what they share first."""
+    return sorted((p for p in where.keys() & at.keys() if p > after), key=lambda p: abs(p - n * STEP - STEP // 2))
+
 
 class PieceCoder:
     """Encodes and decodes pieces in DuckDB; one for each Python worker."""
@@ -133,14 +136,16 @@ class PieceCoder:
             for i in range(1, len(t))
             if t[:i] in ranks and t[i:] in ranks
         ]
-        alone = {t for a, b, rank in pairs for t in (a, b) if rank < t}
         a, b, rank = map(pa.array, zip(*pairs))
-        self.register("m", pa.table({"a": a, "b": b, "rank": rank, "alone": [r.as_py() in alone for r in rank]}))
+        self.register("m", pa.table({"a": a, "b": b, "rank": rank}))
         self.register("v", pa.table({"tok": list(ranks.values()), "hexed": [t.hex() for t in ranks]}))
-        self.db.execute("CREATE TABLE merges AS SELECT a::INTEGER a, b::INTEGER b, rank::INTEGER rank, alone FROM m")
+        self.db.execute("CREATE TABLE merges AS SELECT a::INTEGER a, b::INTEGER b, rank::INTEGER rank FROM m")
         self.db.execute("CREATE TABLE vocabulary AS SELECT tok::INTEGER tok, hexed FROM v")
         self.ids: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
+        self.token = {rank: t for t, rank in ranks.items()}
+        self.chunks: dict[bytes, list[int]] = {}
+        self.agree: dict[tuple[int, int], bool] = {}
 
     def register(self, name: str, rows: pa.Table) -> None:
         self.db.register(name, rows)
@@ -155,11 +160,9 @@ class PieceCoder:
                 "ids": pa.array([str(t) for _, t in whole], pa.string()),
             }
         )
-        short, long = ([x for x in rest if (len(x[1]) > LONG) == far] for far in (False, True))
-        merged = [self.contract(some, query).cast(asis.schema) for some, query in ((short, ENCODE), (long, ENCODE_LONG)) if some]
-        return pa.concat_tables([asis, *merged])
+        return pa.concat_tables([asis, self.contract(rest).cast(asis.schema)]) if rest else asis
 
-    def contract(self, rest: list[tuple[int, bytes]], query: str) -> pa.Table:
+    def contract(self, rest: list[tuple[int, bytes]]) -> pa.Table:
         sizes = np.array([len(p) for _, p in rest], np.int64)
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(p for _, p in rest), np.uint8)
@@ -174,7 +177,7 @@ class PieceCoder:
                 }
             ),
         )
-        return self.db.sql(query).to_arrow_table()
+        return self.db.sql(ENCODE).to_arrow_table()
 
     def decode(self, encoded: pa.Table) -> pa.Table:
         self.register("encoded", encoded)
@@ -182,10 +185,18 @@ class PieceCoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Puts every piece into ``ids`` and ``bytes``."""
-        new = [p for p in pieces if p not in self.ids]
+        new = [p for p in pieces if p not in self.ids and not is_huge(p)]
         if len(self.ids) + len(new) > KEPT_PIECES:
             self.ids = {p: self.ids[p] for p in pieces if p in self.ids}
             self.bytes = {p: self.bytes[p] for p in self.ids}
+        far = [p for p in new if is_long(p)]
+        for part in groups_of(far, SEGMENT):
+            some = far[part]
+            self.prepare([(d, range(chunks_in(d))) for d in map(str.encode, some)])
+            for piece in some:
+                ids, decoded = zip(*self.long(piece))
+                self.ids[piece], self.bytes[piece] = " ".join(ids), b"".join(decoded)
+        new = [p for p in new if p not in self.ids]
         for i in range(0, len(new), PIECES_AT_ONCE):
             some = new[i : i + PIECES_AT_ONCE]
             encoded = self.encode([p.encode() for p in some])
@@ -194,6 +205,124 @@ class PieceCoder:
             self.bytes.update((some[at], bytes.fromhex(h)) for at, h in zip(*(c.to_pylist() for c in decoded.columns)))
 
 
+    def merged(self, parts: list[bytes]) -> list[list[int]]:
+        """The tokens that each of ``parts`` contracts to."""
+        out: list[list[int]] = [[]] * len(parts)
+        for start in range(0, len(parts), PIECES_AT_ONCE):
+            some = parts[start : start + PIECES_AT_ONCE]
+            found = self.contract([(i, p) for i, p in enumerate(some)])
+            for at, ids in zip(found["piece"].to_pylist(), found["ids"].to_pylist()):
+                out[start + at] = [*map(int, ids.split(" "))]
+        return out
+
+    def learn_chunks(self, parts: set[bytes]) -> None:
+        if len(self.chunks) > KEPT_PIECES // 8:
+            self.chunks.clear()
+        new = [p for p in parts if p not in self.chunks]
+        self.chunks.update(zip(new, self.merged(new)))
+
+    def learn_pairs(self, pairs: set[tuple[int, int]]) -> None:
+        """Whether two tokens side by side are what their bytes are encoded to."""
+        if len(self.agree) > KEPT_PIECES:
+            self.agree.clear()
+        new = [p for p in pairs if p not in self.agree]
+        together = self.merged([self.token[a] + self.token[b] for a, b in new])
+        self.agree.update((pair, tokens == [*pair]) for pair, tokens in zip(new, together))
+
+    def bounds(self, tokens: list[int], start: int) -> dict[int, int]:
+        """Of each boundary, the place of the token that starts there."""
+        out, at = {}, start
+        for i, t in enumerate(tokens):
+            out[at] = i
+            at += len(self.token[t])
+        return out
+
+    def agrees(self, left: int, right: int) -> bool:
+        self.learn_pairs({(left, right)})
+        return self.agree[left, right]
+
+    def chunk(self, data: bytes, at: int, size: int = 2 * STEP) -> tuple[list[int], dict[int, int]]:
+        """Tokens of the chunk at a place, with their boundaries."""
+        part = data[at : at + size]
+        self.learn_chunks({part})
+        return self.chunks[part], self.bounds(self.chunks[part], at)
+
+    def prepare(self, some: list[tuple[bytes, range]]) -> None:
+        """Learns chunks of runs of bytes, and the tokens beside the boundaries at which neighbours are joined first, all at once."""
+        self.learn_chunks({data[n * STEP : (n + 2) * STEP] for data, ns in some for n in ns})
+        pairs = set()
+        for data, ns in some:
+            ahead = [self.chunk(data, n * STEP) for n in ns]
+            for n, (tokens, where), (following, at) in zip(ns[1:], ahead, ahead[1:]):
+                for p in shared(n, where, at, (n - 1) * STEP)[:1]:
+                    pairs.add((tokens[where[p] - 1], following[at[p]]))
+        self.learn_pairs(pairs)
+
+    def stitched(self, data: bytes):
+        """Runs of tokens of a long run of bytes, from those of its chunks; chunk ``n`` starts at byte ``n * STEP``."""
+        count = chunks_in(data)
+        ahead: dict[int, tuple[list[int], dict[int, int]]] = {}
+
+        def load(first: int) -> None:
+            ahead.clear()
+            some = range(first, min(first + SEGMENT // STEP, count))
+            self.prepare([(data, some)])
+            ahead.update((n, self.chunk(data, n * STEP)) for n in some)
+
+        load(0)
+        (tokens, where), begun, end, n, last = ahead[0], 0, 2 * STEP, 1, None
+        while n < count and end < len(data):
+            if n not in ahead:
+                load(n)
+            met = next((p for p in shared(n, where, ahead[n][1], begun) if self.agrees(tokens[where[p] - 1], ahead[n][0][ahead[n][1][p]])), None)
+            if met is not None:
+                (following, at), stop = ahead[n], (n + 2) * STEP
+            else:  # another chunk, from a boundary of this one; from its start, a longer one
+                far = end - STEP // 2
+                for met in [*sorted((p for p in where if p > begun), key=lambda p: abs(p - far)), begun]:
+                    stop = met + FRESH if met > begun else 2 * end - begun
+                    following, at = self.chunk(data, met, stop - met)
+                    before = tokens[where[met] - 1] if met > begun else last
+                    if before is None or self.agrees(before, following[0]):
+                        break
+                else:
+                    raise ValueError("a piece has chunks that cannot be joined")
+            run = tokens[where[begun] : where[met]] if met > begun else []
+            if run:
+                last = run[-1]
+                yield run
+            tokens, where, begun, end = following, at, met, stop
+            n = begun // STEP + 1
+        yield tokens[where[begun] :]
+
+    def long(self, piece: str):
+        """(ids, decoded bytes) of parts of a long piece, in order."""
+        data = piece.encode()
+        if data in self.ranks:
+            runs = [[self.ranks[data]]]
+        else:
+            runs = self.stitched(data)
+        held: list[int] = []
+        for run in itertools.chain(runs, [None]):
+            held += run or []
+            if held and (run is None or len(held) > SEGMENT):
+                ids = " ".join(map(str, held))
+                hexed = self.decode(pa.table({"piece": pa.array([0], pa.int32()), "ids": [ids]}))["hexed"][0].as_py()
+                yield ids, bytes.fromhex(hexed)
+                held = []
+
+    def parts(self, pieces: list[str]):
+        """(ids, decoded bytes) of runs of learned pieces and of parts of huge ones, in order."""
+        start = 0
+        for i in (*(i for i, p in enumerate(pieces) if is_huge(p)), len(pieces)):
+            some = pieces[start:i]
+            if some:
+                yield " ".join(map(self.ids.__getitem__, some)), b"".join(map(self.bytes.__getitem__, some))
+            if i < len(pieces):
+                yield from self.long(pieces[i])
+            start = i + 1
+
+
 _coders: dict[str, PieceCoder] = {}
 
 
@@ -204,7 +333,7 @@ def coder_for(key: str, ranks: dict[bytes, int]) -> PieceCoder:
     return _coders[key]
 
 
-def groups_of(texts: list[str], most: int = 4_000_000):
+def groups_of(texts: list[str], most: int = TEXT_AT_ONCE):
     """Slices of ``texts`` of about ``most`` characters, so that memory stays bounded."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -215,14 +344,44 @@ def groups_of(texts: list[str], most: int = 4_000_000):
     yield slice(start, len(texts))
 
 
-def encode_texts(texts: list[str], split: Splitter, coder: PieceCoder):
-    """For each text (number of tokens, ids joined by one space, decoded bytes)."""
+class Encoded:
+    """Count and digests of one text's tokens, and with ``keep`` the tokens and bytes themselves."""
+
+    def __init__(self, keep: bool):
+        self.n, self.ids_hash, self.bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
+        self.kept: tuple[list[str], list[bytes]] | None = ([], []) if keep else None
+
+    def add(self, ids: str, decoded: bytes) -> None:
+        self.ids_hash.update((f" {ids}" if self.n else ids).encode())
+        self.bytes_hash.update(decoded)
+        self.n += ids.count(" ") + 1
+        if self.kept:
+            self.kept[0].append(ids)
+            self.kept[1].append(decoded)
+
+    def row(self) -> list:
+        found = [self.n, self.ids_hash.hexdigest(), self.bytes_hash.hexdigest()]
+        if self.kept:
+            found += [[*map(int, " ".join(self.kept[0]).split())], b"".join(self.kept[1]).decode("utf-8", "replace")]
+        return found
+
+
+def encode_texts(texts: list[str], split: Splitter, coder: PieceCoder, keep: bool = False):
+    """``Encoded`` of each text; the pieces of a very long one are taken some at a time."""
     for part in groups_of(texts):
-        split_texts = [split(t) for t in texts[part]]
-        coder.learn(set().union(*split_texts))
-        for pieces in split_texts:
-            ids = " ".join(map(coder.ids.__getitem__, pieces))
-            yield ids.count(" ") + bool(pieces), ids, b"".join(map(coder.bytes.__getitem__, pieces))
+        some = texts[part]
+        if sum(map(len, some)) <= 2 * TEXT_AT_ONCE:
+            split_texts = [[split(t)] for t in some]
+            coder.learn(set().union(*(pieces for parts in split_texts for pieces in parts)))
+        else:
+            split_texts = [split.some(t, PIECES_AT_ONCE) for t in some]
+        for parts in split_texts:
+            out = Encoded(keep)
+            for pieces in parts:
+                coder.learn(set(pieces))
+                for ids, decoded in coder.parts(pieces):
+                    out.add(ids, decoded)
+            yield out
 
 
 def tokenize(
@@ -247,10 +406,7 @@ def tokenize(
         split, coder = Splitter(pattern), coder_for(path, ranks.value)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            rows = []
-            for n, ids, decoded in encode_texts(texts, split, coder):
-                row = [n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                rows.append([*row, [*map(int, ids.split())], decoded.decode("utf-8", "replace")] if keep_ids else row)
+            rows = [found.row() for found in encode_texts(texts, split, coder, keep_ids)]
             names = [x.split()[0] for x in out.split(", ")][1:]
             got = pd.DataFrame(rows, columns=names)
             got.insert(0, "doc_id", batch["doc_id"].to_numpy())

@@ -77,6 +77,30 @@ def test_bpe_as_the_public_encoder(spark):
     assert bpe.tokenize(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_pieces_as_the_public_encoder():
+    """Letters without white space, DNA, base64, and runs of one sign at every offset to the chunks."""
+    ranks = bpe.read_ranks(PATH)
+    public = tiktoken.Encoding("p", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, split, rng = bpe.PieceCoder(ranks), bpe.Splitter(public_tokenizers.PATTERN), random.Random(11)
+    letters = lambda signs, n: "".join(rng.choices(signs, k=n))
+    texts = ["x" + c * n for c in "a- é中" for n in (201, 5003)] + ["!" + "=-" * 900, "ab" * 3000 + "c"]
+    texts += [letters("abcdefghijklmnopqrstuvwxyz", n) for n in (201, 2000, 60_000)] + [letters("ACGT", 9000), letters("aeiouß", 3000)]
+    texts += [" ".join(letters(rng.choice(["ab", "=-", "xyzABC"]), rng.randint(100, 900)) for _ in range(30)), "a" * 1_500_000]
+    for text, found in zip(texts, bpe.encode_texts(texts, split, coder, keep=True)):
+        n, _, _, ids, decoded = found.row()
+        assert ids == public.encode_ordinary(text) and decoded == text and n == len(ids), text[:20]
+
+
+def test_long_texts_in_parts(monkeypatch):
+    ranks = bpe.read_ranks(PATH)
+    coder, split, rng = bpe.PieceCoder(ranks), bpe.Splitter(public_tokenizers.PATTERN), random.Random(12)
+    texts = [" ".join(rng.choice(["some", "Wörter", "a1", "-" * 300, "\n\n"]) for _ in range(n)) for n in (0, 3, 5000)]
+    whole = [found.row() for found in bpe.encode_texts(texts, split, coder, keep=True)]
+    for name, value in (("TEXT_AT_ONCE", 10), ("PIECES_AT_ONCE", 7)):
+        monkeypatch.setattr(bpe, name, value)
+    assert [found.row() for found in bpe.encode_texts(texts, split, coder, keep=True)] == whole
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage against what its operator says of its own input."""
     docs = storage.table(spark, "/root/testdata/sf0.001", "documents")
