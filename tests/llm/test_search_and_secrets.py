@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kronika.llm import secret_scan, vp_search
@@ -118,3 +120,45 @@ def test_constants_reach_sensitive_names():
 def test_names_that_double():
     text = 'x = "k9Fq2mZ81Lp0"\n' + "x = x + x\n" * 2000 + "password_of = x\n"
     assert secret_scan.literal_spans(text) == {(5, 17)}
+
+
+V = "Zx9kQ2mLp0vT7w"
+ASSIGNED = [
+    f'password: str = "{V}"', f'config["db_password"] = "{V}"', f'os.environ.setdefault("API_TOKEN", "{V}")', f'password = """{V}"""',
+    f"const password = `{V}`;", f"<password>{V}</password>", f'connect(password=SECRET)\nSECRET = "{V}"', f'var token string = "{V}"',
+    f"let token: &'static str = \"{V}\";", f'private String dbPassword = "{V}";', f"$pass = '{V}';", f"'secret' => '{V}',",
+    f'<property name="db.password" value="{V}"/>', f'<entry key="password">{V}</entry>', f"run --api-key {V}", f'run --password="{V}"',
+    f"ENV DB_PASSWORD {V}", f"postgres://user:{V}@host/db", f"password: |\n  {V}\n", f"Authorization: Bearer {V}", f'client.set_password("{V}")',
+    f'password = SecretStr("{V}")', f"don't forget password='{V}'", f"clientSecret: {V}", f'self.token = c\nc = b\nb = a\na = "{V}"',
+    f'pw = os.environ.get("PW") or "{V}"', f"export MY_SECRET={V}", f'password = b"{V}"', f'url = f"x{{TOKEN}}"\nTOKEN = "{V}"',
+    f'password := "{V}"', f"define('DB_PASSWORD', '{V}');", f'{{"a": 1, "apiKey": "{V}"}}', f'dbpassword = "{V}"',
+]
+HARMLESS = [
+    f'keyboard = "{V}"', f'monkey: "{V}"', f'author = "{V}"', f'tokenizer = "{V}"', f'secretary: "{V}"', f'key = "{V}"', f'title = "{V}"',
+    'password = "changeme123"', 'password = "${PASSWORD_9}"', "token_count = 123456789012", 'get_secret("prod/db-password-2a")',
+    'password = os.getenv("DB_PASSWORD_2A")', "The secret: nobody knows it", "password: required", 'password = "correct horse battery"',
+    'password_file = "/run/secrets/Zx9kQ2"', "token: str", 'password = input("Password12: ")', "secret == " + V, f'["a", "password", "{V}"]',
+]
+
+
+@pytest.mark.parametrize("text", ASSIGNED)
+def test_literals_of_many_syntaxes(text):
+    assert [text[a:b] for a, b in secret_scan.literal_spans(text)] == [V]
+
+
+@pytest.mark.parametrize("text", HARMLESS)
+def test_harmless_literals(text):
+    assert not secret_scan.literal_spans(text)
+
+
+def test_values_over_lines_and_names():
+    text = 'password = ("Zx9kQ2m"\n  "Lp0vT7w")\nsecret = A + B\nB = "Lp0vT7w1"\nA = "Zx9kQ2m2"'
+    assert {text[a:b] for a, b in secret_scan.literal_spans(text)} == {"Zx9kQ2m", "Lp0vT7w", "Lp0vT7w1", "Zx9kQ2m2"}
+
+
+@pytest.mark.parametrize("unit", ['"', "'a ", "`", "(", "<a ", "a.", "a-", '"""', "name ", "--a ", 'f("a",', "x: ", 'a="', "\\\n", "a|", "x: a<", "x = x + y\n", "p.q = p.q + '1'\n"])
+def test_time_grows_with_the_text(unit):
+    """Whatever a text repeats; the bound is far above what a linear reading takes."""
+    start = time.process_time()
+    secret_scan.literal_spans(unit * 30_000)
+    assert time.process_time() - start < 8
