@@ -31,10 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .texts import slices
+
 
 #: Pieces a worker keeps between batches, and pieces that go to DuckDB at once.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
 PIECES_AT_ONCE = 20_000
 #: Pieces of more bytes are encoded in chunks of ``2 * STEP`` bytes, one from every ``STEP`` bytes on, so that rounds do not grow with
 #: the piece; so many bytes of a piece, or characters of texts, at a time.
@@ -190,7 +191,7 @@ class PieceCoder:
             self.ids = {p: self.ids[p] for p in pieces if p in self.ids}
             self.bytes = {p: self.bytes[p] for p in self.ids}
         far = [p for p in new if is_long(p)]
-        for part in groups_of(far, SEGMENT):
+        for part in slices(far, SEGMENT):
             some = far[part]
             self.prepare([(d, range(chunks_in(d))) for d in map(str.encode, some)])
             for piece in some:
@@ -216,14 +217,14 @@ class PieceCoder:
         return out
 
     def learn_chunks(self, parts: set[bytes]) -> None:
-        if len(self.chunks) > KEPT_PIECES // 8:
+        if len(self.chunks) > KEPT_PIECES // 16:
             self.chunks.clear()
         new = [p for p in parts if p not in self.chunks]
         self.chunks.update(zip(new, self.merged(new)))
 
     def learn_pairs(self, pairs: set[tuple[int, int]]) -> None:
         """Whether two tokens side by side are what their bytes are encoded to."""
-        if len(self.agree) > KEPT_PIECES:
+        if len(self.agree) > KEPT_PIECES // 2:
             self.agree.clear()
         new = [p for p in pairs if p not in self.agree]
         together = self.merged([self.token[a] + self.token[b] for a, b in new])
@@ -311,13 +312,16 @@ class PieceCoder:
                 yield ids, bytes.fromhex(hexed)
                 held = []
 
+    def known(self, pieces: list[str]):
+        """(ids, decoded bytes) of learned pieces, if any, as one."""
+        if pieces:
+            yield " ".join(map(self.ids.__getitem__, pieces)), b"".join(map(self.bytes.__getitem__, pieces))
+
     def parts(self, pieces: list[str]):
         """(ids, decoded bytes) of runs of learned pieces and of parts of huge ones, in order."""
         start = 0
         for i in (*(i for i, p in enumerate(pieces) if is_huge(p)), len(pieces)):
-            some = pieces[start:i]
-            if some:
-                yield " ".join(map(self.ids.__getitem__, some)), b"".join(map(self.bytes.__getitem__, some))
+            yield from self.known(pieces[start:i])
             if i < len(pieces):
                 yield from self.long(pieces[i])
             start = i + 1
@@ -333,17 +337,6 @@ def coder_for(key: str, ranks: dict[bytes, int]) -> PieceCoder:
     return _coders[key]
 
 
-def groups_of(texts: list[str], most: int = TEXT_AT_ONCE):
-    """Slices of ``texts`` of about ``most`` characters, so that memory stays bounded."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(text)
-    yield slice(start, len(texts))
-
-
 class Encoded:
     """Count and digests of one text's tokens, and with ``keep`` the tokens and bytes themselves."""
 
@@ -368,16 +361,22 @@ class Encoded:
 
 def encode_texts(texts: list[str], split: Splitter, coder: PieceCoder, keep: bool = False):
     """``Encoded`` of each text; the pieces of a very long one are taken some at a time."""
-    for part in groups_of(texts):
+    for part in slices(texts, TEXT_AT_ONCE):
         some = texts[part]
         if sum(map(len, some)) <= 2 * TEXT_AT_ONCE:
-            split_texts = [[split(t)] for t in some]
-            coder.learn(set().union(*(pieces for parts in split_texts for pieces in parts)))
-        else:
-            split_texts = [split.some(t, PIECES_AT_ONCE) for t in some]
-        for parts in split_texts:
+            split_texts = [split(t) for t in some]
+            every = set().union(*split_texts)
+            coder.learn(every)
+            whole = not any(map(is_huge, every))
+            for pieces in split_texts:
+                out = Encoded(keep)
+                for ids, decoded in coder.known(pieces) if whole else coder.parts(pieces):
+                    out.add(ids, decoded)
+                yield out
+            continue
+        for text in some:
             out = Encoded(keep)
-            for pieces in parts:
+            for pieces in split.some(text, PIECES_AT_ONCE):
                 coder.learn(set(pieces))
                 for ids, decoded in coder.parts(pieces):
                     out.add(ids, decoded)
@@ -397,7 +396,6 @@ def tokenize(
     With ``keep_ids`` the ids themselves (``array<int>``) and the decoded text come too.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    small_batches(docs.sparkSession)
     out = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
         out += ", ids array<int>, decoded string"

@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_tree import INLINE, Tree, parse
-from .storage import small_batches
 
 CONTAINERS = frozenset("div section article main body html td table tbody tr ul ol dl center #root".split())
 BOUNDS = frozenset("nav header footer aside form menu dialog address button fieldset".split())
@@ -301,7 +300,6 @@ def extract_pages(
     html_col: str = "html",
 ) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row."""
-    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
     kind = pages.schema[id_col].dataType.simpleString()
 

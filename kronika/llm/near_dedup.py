@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import minhash, mixed, shingle_sets
-from .storage import materialize, small_batches
+from .storage import materialize
+from .texts import slices
 
 HASHES, DEPTH, TREES, REGION = 128, 3, 21, 32
 #: Nodes of a block of a crowded region; two blocks are compared at a time.
@@ -49,21 +50,11 @@ HELD_REGIONS = 20_000
 BROADCAST_IDS = 1_000_000
 
 
-def slices(texts: list[str], most: int = 2_000_000):
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    yield start, len(texts)
-
-
 def sets_of(batch: pd.DataFrame, width: int) -> list[np.ndarray]:
     texts = [t or "" for t in batch["text"]]
     out: list[np.ndarray] = []
-    for i, j in slices(texts):
-        out += shingle_sets(texts[i:j], width)
+    for part in slices(texts):
+        out += shingle_sets(texts[part], width)
     return out
 
 
@@ -359,7 +350,6 @@ def crowded_links(crowded: DataFrame, nodes: DataFrame, groups: DataFrame, docs:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row; the least id of a component stays."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     every = materialize(signed(docs, width), "signatures")
     of_set = every.where("set_key is not null").groupBy("set_key")

@@ -30,7 +30,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
 
 # Base patterns and the least length of what counts (group 2, or the match).
 ASSIGN = re.compile(
@@ -313,7 +312,6 @@ def scan_text(text: str, threshold: float = 5.0) -> tuple[list, list]:
 
 def scan(docs: DataFrame, threshold: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_literal, base_sha256, spans`` of every row."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
