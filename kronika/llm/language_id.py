@@ -6,8 +6,9 @@ Forward-backward gives each word's marginals; a document's language is the one w
 mean marginal, which is its score.
 
 Training uses at most ``per_lang`` labelled documents of each language (the lowest seeded hashes of
-their ids), whole, cut into runs and dealt into code-switched sequences, on the driver: the sample is bounded
-by ``per_lang`` times the number of languages.  Documents with crc32(id as text) mod 4 = 2 are held out.  Only the
+their ids), of each at most ``most_chars`` characters, cut into runs and dealt into code-switched sequences, on the driver: the
+sample is bounded by ``per_lang * most_chars`` times the number of languages.  Emissions and transitions are fitted together to
+the likelihood of the sequences.  Documents with crc32(id as text) mod 4 = 2 are held out.  Only the
 text decides a prediction.
 
 Long texts are cut into segments of ``SEGMENT`` words whose transfer matrices are multiplied first, which gives
@@ -25,23 +26,31 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .storage import small_batches
+from .texts import slices
 
-WORDS = re.compile(r"[^\W\d_]+")
+
+#: Letters with their marks; the plain pattern does the same for texts without marks and letters of other scripts, faster.
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+LATIN_WORDS, OTHER = re.compile(r"[^\W\d_²³¹¼½¾]+"), re.compile("[^\x00-\u02ff]")
 SEGMENT = 64
 KEPT_WORDS = 500_000
+#: Up to so many languages, counted, their sizes are broadcast.
+BROADCAST_LANGS = 10_000
 #: Sizes of the tables of weights: byte pairs, byte triples, starts and ends of words.
 TABLES = (1 << 16, 1 << 17, 1 << 16, 1 << 16)
 UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    words = WORDS.findall(text.lower()) if text else []
-    return words if any(map(str.isalpha, words)) or any(c.isalpha() for c in "".join(words)) else []
+    if not text:
+        return []
+    text = text.lower()
+    return (WORDS if OTHER.search(text) else LATIN_WORDS).findall(text)
 
 
 def held_out(id_col="doc_id"):
@@ -71,11 +80,12 @@ def word_features(words: list[str]):
     )
 
 
-def marginals(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def marginals(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray, owner: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Marginals (segments, SEGMENT, languages) by forward-backward.
 
-    ``scores`` are words' log scores, ``mask`` tells words from padding, ``owner`` is the text of each
-    segment, ascending; a text's segments follow each other.
+    ``scores`` are words' log scores, ``transitions`` the factors of neighbours, ``mask`` tells words from padding, ``owner`` is the text
+    of each segment, ascending; a text's segments follow each other.  The marginals of neighbours within segments are
+    added up in ``pairs``, if given.
     """
     n, length, s = scores.shape
     near = np.exp(scores - scores.max(2, keepdims=True)).astype(np.float32)
@@ -90,7 +100,10 @@ def marginals(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray, own
     if most > 1:
         carried = np.broadcast_to(np.eye(s, dtype=np.float32), (n, s, s)).copy()
         for t in range(length):
-            new = (carried @ step) * near[:, t, None, :]
+            came = carried @ step
+            if t == 0:
+                came[first] = 1  # a text's first word follows none
+            new = came * near[:, t, None, :]
             new /= new.sum((1, 2), keepdims=True)
             carried = np.where(mask[:, t, None, None], new, carried)
         order = np.argsort(place, kind="stable")
@@ -107,11 +120,17 @@ def marginals(scores: np.ndarray, mask: np.ndarray, transitions: np.ndarray, own
     out = np.empty((n, length, s), np.float32)
     v = start
     for t in range(length):
-        new = (v @ step) * near[:, t]
+        came = v @ step
+        if t == 0:
+            came[first] = 1
+        new = came * near[:, t]
         v = np.where(mask[:, t, None], new / new.sum(1, keepdims=True), v)
         out[:, t] = v
     v = after
     for t in range(length - 1, -1, -1):
+        if pairs is not None and t:
+            both = out[:, t - 1, :, None] * step * (near[:, t] * v)[:, None, :]
+            pairs += (both / both.sum((1, 2), keepdims=True))[mask[:, t]].sum(0)
         out[:, t] *= v
         new = (near[:, t] * v) @ step.T
         v = np.where(mask[:, t, None], new / new.sum(1, keepdims=True), v)
@@ -219,65 +238,78 @@ def train(rows: list[tuple[str, str]], rounds: int = 40, lexicon_size: int = 400
 
     features = word_features(vocabulary)
     lexical_at = np.array([lexicon.get(w, 0) for w in vocabulary])
-    switches = np.ones((s, s))
+    switches = np.zeros((s, s))
     both = mask[:, 1:]
     np.add.at(switches, (wanted[:, :-1][both], wanted[:, 1:][both]), 1)
-    transitions = switches / switches.sum(1, keepdims=True)
-    weights = [np.zeros((n, s), np.float32) for n in TABLES] + [np.zeros((len(lexicon) + 1, s), np.float32)]
+    weights = [np.zeros((n, s), np.float32) for n in TABLES] + [np.zeros((len(lexicon) + 1, s), np.float32), np.zeros((s, s), np.float32)]
     one, two = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    tagger = Tagger(langs, weights[:4], lexicon, weights[4], transitions)
+    tagger = Tagger(langs, weights[:4], lexicon, weights[4], np.exp(weights[5]))
     every = np.arange(len(padded))
     for k in range(1, rounds + 1):
         scores = tagger.score(vocabulary)[padded]
-        error = marginals(scores, mask, transitions, every) - target
+        expected = np.zeros((s, s))
+        error = marginals(scores, mask, tagger.transitions, every, expected) - target
         by_word = np.stack([np.bincount(padded[mask], error[..., i][mask], len(vocabulary)) for i in range(s)], 1)
         for j, w in enumerate(weights):
-            places, owner = features[j] if j < 4 else (lexical_at, np.arange(len(vocabulary)))
-            grad = np.stack([np.bincount(places, by_word[owner, i], len(w)) for i in range(s)], 1).astype(np.float32)
+            if j < 5:
+                places, owner = features[j] if j < 4 else (lexical_at, np.arange(len(vocabulary)))
+                grad = np.stack([np.bincount(places, by_word[owner, i], len(w)) for i in range(s)], 1).astype(np.float32)
+            else:
+                grad = (expected - switches).astype(np.float32)
             grad = grad / len(stream) * 1000 + 1e-3 * w
             one[j] = 0.9 * one[j] + 0.1 * grad
             two[j] = 0.99 * two[j] + 0.01 * grad * grad
             w -= 0.05 * (one[j] / (1 - 0.9**k)) / (np.sqrt(two[j] / (1 - 0.99**k)) + 1e-3)
         weights[4][0] = 0
+        tagger.transitions = np.exp(weights[5])
     return tagger
 
 
-def sample(docs: DataFrame, per_lang: int, seed: int = 5) -> list[tuple[str, str]]:
-    """At most ``per_lang`` labelled, not held-out (lang, text) rows for each language."""
+def sample(docs: DataFrame, per_lang: int, most_chars: int, seed: int = 5) -> list[tuple[str, str]]:
+    """At most ``per_lang`` labelled, not held-out (lang, text) rows for each language, of a text its first ``most_chars``."""
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
     counts = ids.groupBy("lang").count()
+    if counts.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
+        counts = F.broadcast(counts)  # else ids would be dealt by language
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang + 50) / F.col("count"))
     few = ids.join(counts, "lang").where(draw < share).withColumn("draw", draw)
     nth = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id"))
-    chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("doc_id").distinct()
-    rows = docs.where("lang is not null").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
-    return [(r.lang, r.text or "") for r in rows.collect()]
+    chosen = few.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("doc_id", "lang").distinct()
+    text = F.substring(F.coalesce("text", F.lit("")), 1, most_chars).alias("text")
+    rows = docs.select("doc_id", "lang", text).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    one = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # an id may be repeated, without bound
+    return [(r.lang, r.text) for r in one.collect()]
 
 
 def predictions(tagger: Tagger | None, texts: list[str | None]):
     """(index of the best language or -1, its share) of each text."""
-    words = [words_of(t) for t in texts]
-    best, score = np.full(len(words), -1), np.zeros(len(words))
-    some = [i for i, w in enumerate(words) if w] if tagger else []
-    for part in pieces_of(some, words):
-        shares = tagger.shares([words[i] for i in part])
-        best[part], score[part] = shares.argmax(1), shares.max(1)
+    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    texts = [t or "" for t in texts]
+    for part in slices(texts) if tagger else ():
+        words = {i: w for i, t in enumerate(texts[part], part.start) if (w := words_of(t))}
+        if words:
+            shares = tagger.shares([*words.values()])
+            best[[*words]], score[[*words]] = shares.argmax(1), shares.max(1)
     return best, score.clip(0, 1)
 
 
-def fitted(docs: DataFrame, per_lang: int, id_col: str, text_col: str, lang_col: str):
+def fitted(docs: DataFrame, per_lang: int, most_chars: int, id_col: str, text_col: str, lang_col: str):
     """A broadcast tagger."""
     columns = (F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return docs.sparkSession.sparkContext.broadcast(train(sample(docs.select(*columns), per_lang)))
+    return docs.sparkSession.sparkContext.broadcast(train(sample(docs.select(*columns), per_lang, most_chars)))
 
 
 def identify(
-    docs: DataFrame, per_lang: int = 120, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame,
+    per_lang: int = 120,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    most_chars: int = 200_000,
 ) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row."""
-    small_batches(docs.sparkSession)
-    shared = fitted(docs, per_lang, id_col, text_col, lang_col)
+    shared = fitted(docs, per_lang, most_chars, id_col, text_col, lang_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -299,10 +331,10 @@ def keep_identified(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    most_chars: int = 200_000,
 ) -> DataFrame:
     """The rows of ``docs``, unchanged, whose language is known with a score of at least ``min_score``."""
-    small_batches(docs.sparkSession)
-    shared = fitted(docs, per_lang, id_col, text_col, lang_col)
+    shared = fitted(docs, per_lang, most_chars, id_col, text_col, lang_col)
 
     def run(batches):
         for batch in batches:
@@ -310,16 +342,3 @@ def keep_identified(
             yield batch.filter(pa.array((best >= 0) & (score >= min_score)))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def pieces_of(some: list[int], words: list[list[str]], most: int = 300_000):
-    """``some`` in runs of about ``most`` words, so that memory stays bounded."""
-    part, size = [], 0
-    for i in some:
-        part.append(i)
-        size += len(words[i])
-        if size > most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part

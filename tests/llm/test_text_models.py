@@ -1,6 +1,7 @@
 """Language ID, byte-level BPE, the pipeline."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -53,6 +54,55 @@ def test_code_switched_words_and_segments():
     assert np.allclose(a, b, atol=1e-5)
 
 
+def by_paths(scores, transitions):
+    """Log of the sum over all label sequences of one text, marginals and pair marginals, sequence by sequence."""
+    n, s = scores.shape
+    single, pairs, total = np.zeros((n, s)), np.zeros((s, s)), 0.0
+    for path in itertools.product(range(s), repeat=n):
+        weight = np.exp(sum(scores[t, y] for t, y in enumerate(path))) * np.prod([transitions[a, b] for a, b in zip(path, path[1:])])
+        total += weight
+        for t, y in enumerate(path):
+            single[t, y] += weight
+        for a, b in zip(path, path[1:]):
+            pairs[a, b] += weight
+    return np.log(total), single / total, pairs / total
+
+
+def test_marginals_by_brute_force():
+    rng = np.random.default_rng(4)
+    transitions, lengths = np.exp(rng.normal(size=(3, 3))), [1, 5, 7, 3, 6]
+    scores = [rng.normal(size=(n, 3)) * 2 for n in lengths]
+    flat = np.concatenate(scores)
+    cuts = np.cumsum([0, *lengths])
+    codes = [np.arange(a, b) for a, b in zip(cuts, cuts[1:])]
+    for length in (3, 8):  # texts over several segments, and in one
+        places, mask, owner = language_id.segments(codes, length)
+        pairs = np.zeros((3, 3))
+        got = language_id.marginals(flat[places], mask, transitions, owner, pairs)[mask]
+        want = [by_paths(x, transitions) for x in scores]
+        assert np.allclose(got, np.concatenate([w[1] for w in want]), atol=1e-5)
+        if length == 8:
+            assert np.allclose(pairs, sum(w[2] for w in want), atol=1e-4)
+            bumped = transitions.copy()
+            bumped[0, 2] *= np.exp(1e-5)  # pair marginals are the gradient by log transitions
+            change = sum(by_paths(x, bumped)[0] for x in scores) - sum(w[0] for w in want)
+            assert abs(change / 1e-5 - pairs[0, 2]) < 1e-3
+
+
+def test_transitions_are_learned():
+    rng = random.Random(6)
+    text = lambda words: " ".join(rng.choice(words.split()) for _ in range(80))
+    tagger = language_id.train([("en", text("the and thing with shared")) for _ in range(15)] + [("de", text("der und ungen nicht shared")) for _ in range(15)])
+    t = tagger.transitions
+    assert t[0, 0] > 1.5 * t[0, 1] and t[1, 1] > 1.5 * t[1, 0]
+    assert tagger.label(["der", "shared", "und"])[1] == "de" and tagger.label(["the", "shared", "and"])[1] == "en"
+
+
+def test_marks_belong_to_words():
+    assert language_id.words_of("हिन्दी में Ünter-x² e\u0301te") == ["हिन्दी", "में", "ünter", "x", "e\u0301te"]
+    assert language_id.words_of("½ 12 ² _") == []
+
+
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
