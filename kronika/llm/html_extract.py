@@ -9,7 +9,7 @@ The model is trained by gradient ascent on the exact likelihood of labelled page
 here by a seeded rule in many layouts; their number is a parameter.
 
 Defined results: null or empty html gives an empty text; markup that is cut off, unclosed or unknown is read as far as
-it goes; repeated rows get equal answers; an empty table gives an empty result.  Only the id, url and html columns
+it goes, in time in proportion to its length; repeated rows get equal answers; an empty table gives an empty result.  Only the id, url and html columns
 are read.
 """
 
@@ -19,6 +19,7 @@ import math
 import random
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,8 +64,8 @@ def name_features(tag: str, names: str) -> list[str]:
     return ["bias", f"tag:{tag}", *(f"name:{w}" for w in sorted(set(NAME_WORDS.findall(names))))]
 
 
-def size_features(tree: Tree) -> list[str]:
-    """Of each element: length of all text below, with how much of it is in links."""
+def size_features(tree: Tree) -> list[tuple[str, ...]]:
+    """Of each element: length of all text below with how much of it is in links, its own text, its share of the page's."""
     total, linked = list(tree.lengths), [0] * len(tree.tags)
     for i in range(len(total) - 1, 0, -1):
         if tree.tags[i] == "a":
@@ -72,9 +73,16 @@ def size_features(tree: Tree) -> list[str]:
         p = tree.parents[i]
         total[p] += total[i]
         linked[p] += linked[i]
+    steps = [0 if not k else 1 if k < 0.3 * n else 2 if k < 0.7 * n else 3 for n, k in zip(total, linked)]
+    free = max(total[0] - linked[0], 1)
+    of_page = lambda n: (n > 0.03 * free) + (n > 0.15 * free) + (n > 0.4 * free) + (n > 0.8 * free)
     return [
-        f"size:{min(n.bit_length(), 10) // 2}:{0 if not k else 1 if k < 0.3 * n else 2 if k < 0.7 * n else 3}"
-        for n, k in zip(total, linked)
+        (
+            f"size:{min(n.bit_length(), 10) // 2}:{step}",
+            f"own:{min(own.bit_length(), 8) // 2}:{step}",
+            f"share:{of_page(n - k)}:{of_page(own)}:{group(tag)}",
+        )
+        for n, k, own, step, tag in zip(total, linked, tree.lengths, steps, tree.tags)
     ]
 
 
@@ -83,10 +91,11 @@ def sum_product(tree: Tree, model: Model):
     parents = tree.parents
     tables = [[clipped_exp(x) for x in t] for t in model.pairs]
     groups, below = [], []
-    for tag, names, size in zip(tree.tags, tree.names, size_features(tree)):
+    weight = model.words.get
+    for tag, names, (size, own, share) in zip(tree.tags, tree.names, size_features(tree)):
         score, kind = model.fixed(tag, names)
         groups.append(kind + 4 * (tree.tags[parents[len(groups)]] in TOPS))
-        below.append(clipped_exp(score + model.words.get(size, 0.0)))
+        below.append(clipped_exp(score + weight(size, 0.0) + weight(own, 0.0) + weight(share, 0.0)))
     up = [1.0] * len(below)
     for i in range(len(below) - 1, 0, -1):
         p00, p01, p10, p11 = tables[groups[i]]
@@ -124,31 +133,35 @@ def extract(page: str, model: Model, threshold: float = 0.5) -> str:
 LABEL = re.compile(r"label-(yes|no)")
 
 
-def labels_of(tree: Tree) -> list[bool]:
+#: A labelled page without a body starts with this if what lies at its top is article.
+TOP_MARK = "<!--label-yes-->"
+
+
+def labels_of(tree: Tree, top: bool = False) -> list[bool]:
     """What ``label-yes`` and ``label-no`` say, inherited downward; takes the marks out of the names."""
     labels: list[bool] = []
     for i, names in enumerate(tree.names):
         mark = LABEL.search(names)
-        labels.append(mark[1] == "yes" if mark else labels[tree.parents[i]] if i else False)
+        labels.append(mark[1] == "yes" if mark else labels[tree.parents[i]] if i else top)
     tree.names = [LABEL.sub("", names).strip() for names in tree.names]
     return labels
 
 
-def train(pages: list[str], rounds: int = 100, rate: float = 0.15) -> Model:
-    """Fit to labelled pages: gradient ascent on their likelihood, with exact marginals."""
+def train(pages: list[str], rounds: int = 160, rate: float = 0.12, at_once: int = 200) -> Model:
+    """Fit to labelled pages: gradient ascent on the likelihood of ``at_once`` of them in turn, with exact marginals."""
     model = Model()
     data = []
     for page in pages:
         tree = parse(page)
-        labels = labels_of(tree)
-        features = [[*name_features(t, n), s] for t, n, s in zip(tree.tags, tree.names, size_features(tree))]
+        labels = labels_of(tree, page.startswith(TOP_MARK))
+        features = [[*name_features(t, n), *s] for t, n, s in zip(tree.tags, tree.names, size_features(tree))]
         data.append((tree, labels, features))
     squares: dict = {}
     for k in range(rounds):
         model.seen.clear()
         pace = rate * (1 - k / rounds)
         step: dict = {}
-        for tree, labels, features in data:
+        for tree, labels, features in (data[(k * at_once + i) % len(data)] for i in range(min(at_once, len(data)))):
             below, up, every, groups, tables = sum_product(tree, model)
             for i, label in enumerate(labels):
                 error = label - every[i] / (1 + every[i])
@@ -184,11 +197,17 @@ NOTICES = "notice alert cookie consent banner cookie-banner gdpr popup modal mes
 ADVERTS = "ad ads advert advertisement sponsored promo ad-slot adsbox adsense promotion sponsor".split()
 COMMENTS = "comments comment comment-list responses disqus discussion replies reply respond reader-comments user-comments".split()
 SHARES = "share social share-bar sharing author-box tools".split()
-MAINS = "content main article post entry story body article-body entry-content post-content main-content text".split()
+MAINS = "content main article post entry story body article-body entry-content post-content main-content text single blog news page".split()
+#: What names of parts are made longer by; they say nothing.
+BOXES = "wrapper inner container box wrap area block section outer col row holder".split()
+
 
+def labelled_pages(n: int = 800, seed: int = 17) -> list[str]:
+    """Pages in many layouts; class words ``label-yes`` and ``label-no`` say what each part is.
 
-def labelled_pages(n: int = 200, seed: int = 17) -> list[str]:
-    """Pages in many layouts; class words ``label-yes`` and ``label-no`` say what each part is."""
+    Articles are in elements that say so, or in elements that do not, or lie plainly in the body, as elements or as bare text, from a
+    few words to pages long; heads, bodies and paragraphs may be left open.
+    """
     rng = random.Random(seed)
     syllables = "lo mi ra ten sor ka vi del pan tu re o an est".split()
 
@@ -201,6 +220,8 @@ def labelled_pages(n: int = 200, seed: int = 17) -> list[str]:
 
     def tag(name: str, inner: str, label: str = "", names: str = "") -> str:
         key = rng.choice(["class", "class", "id"]) if names else "class"
+        if names and rng.random() < 0.3:
+            names = f"{names}{rng.choice('-_ ')}{rng.choice(BOXES)}" if rng.random() < 0.8 else f"{rng.choice(BOXES)}-{names}"
         mark = f"label-{label}" if label else ""
         other = f' {key}="{names}"' if names else ""
         return f'<{name}{other} role="{mark}">{inner}</{name}>' if mark else f"<{name}{other}>{inner}</{name}>"
@@ -244,53 +265,93 @@ def labelled_pages(n: int = 200, seed: int = 17) -> list[str]:
                 out.append(tag(rng.choice(["div", "div", "p", "section", "aside", "ins" if kind == "advert" else "div"]), text, "no", rng.choice(names)))
         return "".join(out)
 
-    def body() -> str:
-        if rng.random() < 0.3:  # a very short article
+    def lines() -> str:
+        """Bare text."""
+        return rng.choice(["<br>", "<br><br>", "\n", "<br/>\n"]).join(words(3, 250) for _ in range(rng.randint(1, 6)))
+
+    def piece() -> str:
+        k = rng.random()
+        if k < 0.72:
+            return paragraph()
+        if k < 0.8:
+            return f"<h2>{words(1, 6)}</h2>"
+        if k < 0.86:
+            return f"<{(t := rng.choice(['ul', 'ol']))}>" + "".join(f"<li>{words(1, 20)}</li>" for _ in range(3)) + f"</{t}>"
+        if k < 0.9:
+            return f"<blockquote><p>{words(5, 30)}</p></blockquote>"
+        if k < 0.93:
+            return "<table>" + "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr>" for _ in range(3)) + "</table>"
+        if k < 0.95:
+            return f"<figure><img src='x'><figcaption>{words(2, 12)}</figcaption></figure>"
+        if k < 0.97:
+            return f"<pre>{words(3, 60)}</pre>"
+        return f"<div>{words(5, 300)}</div>"
+
+    def body(bare: bool = True) -> str:
+        k = rng.random()
+        if k < 0.25:  # a very short article
             return f"<h1>{words(1, 8)}</h1><p>{words(1, 10)}</p>" if rng.random() < 0.5 else f"<p>{words(1, 12)}</p><p>{words(1, 12)}"
+        if k < 0.35:
+            return f"<p>{words(20, 400)}</p>"
+        if k < 0.45 and bare:
+            return (f"<h1>{words(2, 10)}</h1>" if rng.random() < 0.5 else "") + lines()
         out = [f"<h1>{words(2, 10)}</h1>"] if rng.random() < 0.8 else []
-        for _ in range(rng.randint(1, 9)):
-            k = rng.random()
-            if k < 0.75:
-                out.append(paragraph())
-            elif k < 0.8:
-                out.append(f"<h2>{words(1, 6)}</h2>")
-            elif k < 0.86:
-                out.append(f"<{(t := rng.choice(['ul', 'ol']))}>" + "".join(f"<li>{words(1, 20)}</li>" for _ in range(3)) + f"</{t}>")
-            elif k < 0.9:
-                out.append(f"<blockquote><p>{words(5, 30)}</p></blockquote>")
-            elif k < 0.94:
-                out.append("<table>" + "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr>" for _ in range(3)) + "</table>")
-            elif k < 0.97:
-                out.append(f"<figure><img src='x'><figcaption>{words(2, 12)}</figcaption></figure>")
-            else:
-                out.append(f"<div>{words(5, 40)}</div>")
+        if rng.random() < 0.15:
+            out = [tag("header", f"<h1>{words(2, 10)}</h1><p>{words(2, 8)}</p>", "no", rng.choice(["", "", "entry-header"]))]
+        out += [piece() for _ in range(rng.randint(1, 9))]
         if rng.random() < 0.2:
             out.insert(rng.randint(0, len(out)), noise(["advert", "side", "share", "form", "notice"], 1))
+        if rng.random() < 0.2:
+            out.append(tag("footer", words(2, 12), "no"))
         return "".join(out)
 
     pages = []
     for _ in range(n):
         k = rng.random()
         names = rng.choice(["", "", *MAINS])
-        if k < 0.4:
+        plain = k >= 0.65
+        if k < 0.25:
             main = tag("article", body(), "yes", names)
-        elif k < 0.5:
+        elif k < 0.33:
             main = tag("main", tag("article", body()) + noise(["comment", "side"], 1), "yes")
-        elif k < 0.6:
+        elif k < 0.4:
             main = tag("main", body(), "yes", names)
-        elif k < 0.93:
-            main = tag(rng.choice(["div", "section", "div"]), body(), "yes", rng.choice(MAINS))
+        elif k < 0.65:
+            main = tag(rng.choice(["div", "section", "div", "td"]), body(), "yes", rng.choice(MAINS))
+        elif k < 0.72:
+            main = tag(rng.choice(["div", "td", "center"]), body(), "yes")
+        elif k < 0.88:
+            main = body(False)
         else:
-            main = "".join(tag(t, words(1, 300), "yes") for t in ["h1"] + ["p"] * rng.randint(1, 6))
-        before = noise(["menu", "head", "notice", "advert", "form"], 4)
-        after = noise(["side", "comment", "advert", "form", "share", "menu", "notice"], 4) + noise(["foot"], 2)
+            main = body() if rng.random() < 0.4 else lines()
+        if rng.random() < 0.08 and k < 0.88:
+            main = tag(rng.choice(["font", "span", "div"]), main, "yes")
+        for _ in range(rng.choice([0, 0, 0, 0, 1, 2, 3])):  # boxes around the article alone
+            main = tag("div", main, "yes", rng.choice(["", *BOXES])) if 0.4 <= k < 0.72 or k < 0.15 else main
+        few = rng.random() < (0.5 if plain else 0.35)
+        none = few and rng.random() < 0.4
+        before = "" if none else noise(["menu", "head", "notice", "advert", "form"], 1 if few else 4)
+        after = "" if none else noise(["side", "comment", "advert", "form", "share", "menu", "notice"], 1 if few else 4) + noise(["foot"], 1 if few else 2)
         whole = before + main + after
-        if rng.random() < 0.4:
-            whole = tag("div", whole, "no", rng.choice(["", "wrapper", "container", "page", "site"]))
-        pages.append(f"<html><head><title>{words(2, 6)}</title></head><body>{whole}</body></html>")
+        for _ in range(rng.choice([0, 0, 0, 1, 1, 2]) if not plain else 0):
+            whole = tag("div", whole, "yes" if none else "no", rng.choice(["", "wrapper", "container", "page", "site", *BOXES]))
+        label = 'role="label-yes"' if k >= 0.72 else 'role="label-no"'
+        title = f"<title>{words(2, 6)}</title>"
+        head = rng.choice([f"<html><head>{title}</head>", f"<html><head>{title}</head>", f"<html><head>{title}", f"<!doctype html>{title}", "<html>"])
+        if k >= 0.72 and rng.random() < 0.25:  # neither html nor body
+            bare = "" if k < 0.88 or rng.random() < 0.5 else rng.choice([lines(), words(10, 400)])
+            pages.append(TOP_MARK + (bare or rng.choice([f"<head>{title}", f"<head>{title}</head>", title, "", "<!doctype html>"]) + whole))
+            continue
+        pages.append(f"{head}<body {label}>{whole}" + rng.choice(["</body></html>", "</body></html>", ""]))
     return pages
 
 
+@lru_cache(1)
+def default_model() -> Model:
+    """Fitted once in a process."""
+    return train(labelled_pages())
+
+
 def extract_pages(
     pages: DataFrame,
     model: Model | None = None,
@@ -300,7 +361,7 @@ def extract_pages(
     html_col: str = "html",
 ) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
+    shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 MARKUP = re.compile(
-    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""",
+    r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))""",
     re.S,
 )
 NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -45,9 +45,12 @@ class Tree:
 
 
 def parse(page: str) -> Tree:
+    """One pass; where an element is open is known by its tag, so that deep and unclosed markup costs no more."""
     tree = Tree()
     tags, parents = tree.tags, tree.parents
     stack = [0]
+    places: dict[str, list[int]] = {}  # of the open elements of a tag, in the stack
+    solid = [0]  # of open elements that end a search for an open paragraph
     block = at = hidden = 0
 
     def text(upto: int) -> None:
@@ -63,7 +66,15 @@ def parse(page: str) -> Tree:
     def pop(down_to: int) -> None:
         nonlocal hidden
         while len(stack) > down_to:
-            hidden -= tags[stack.pop()] in HIDDEN
+            tag = tags[stack.pop()]
+            places[tag].pop()
+            hidden -= tag in HIDDEN
+            if solid[-1] == len(stack):
+                solid.pop()
+
+    def last(*some: str) -> int:
+        """The place of the innermost open element of some tags, or 0."""
+        return max((places[t][-1] for t in some if places.get(t)), default=0)
 
     while True:
         m = MARKUP.search(page, at)
@@ -75,10 +86,8 @@ def parse(page: str) -> Tree:
         if not tag:
             continue
         if m[1] or m[4]:  # an end tag
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] == tag:
-                    pop(i)
-                    break
+            if open_at := last(tag):
+                pop(open_at)
             block += tag not in INLINE
             continue
         if tags[stack[-1]] == "head" and tag not in IN_HEAD:
@@ -88,19 +97,13 @@ def parse(page: str) -> Tree:
             continue
         if tag in CLOSES:
             closed, within = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] in within:
-                    break
-                if tags[stack[i]] in closed.split():
-                    pop(i)
+            barrier = last(*within)
+            while (open_at := last(*closed.split())) > barrier:
+                pop(open_at)
         if tag not in INLINE:
             block += 1
-            for i in range(len(stack) - 1, 0, -1):
-                if tags[stack[i]] == "p":
-                    pop(i)
-                    break
-                if tags[stack[i]] not in INLINE:
-                    break
+            if (open_at := last("p")) > solid[-1]:
+                pop(open_at)
         attributes = m[3] or m[6] or ""
         names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if attributes else ""
         tags.append(tag)
@@ -109,6 +112,9 @@ def parse(page: str) -> Tree:
         tree.lengths.append(0)
         if attributes.endswith("/") and tag in ("svg", "path"):
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE and tag != "p":
+            solid.append(len(stack))
         stack.append(len(tags) - 1)
         hidden += tag in HIDDEN
         if tag in RAW:
