@@ -15,8 +15,12 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted = url_filter.UrlFilter(url_filter.labelled_urls(spark))
-    return fitted.judge(table(spark, sf_dir, "pages"))
+    return url_filter.default_filter(spark).judge(table(spark, sf_dir, "pages"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2 that SQL can express."""
+    return url_filter.ruled(table(spark, sf_dir, "pages"))
 
 
 def op3_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +68,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
+    "url_rules": url_rules,
 }
 
 OP3_SQL = """
@@ -149,4 +154,18 @@ SELECT doc_id, size, source_size, target,
 FROM j
 """
 
-ORACLES = {"op3_vp_search": OP3_SQL, "op5_near_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op10_mixing": OP10_SQL}
+RULES_SQL = r"""
+WITH t AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS tail FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM t),
+rules(h, s, v) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (
+  SELECT page_id, host, path, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS verdict
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, m.rule, m.verdict FROM p LEFT JOIN (SELECT DISTINCT page_id, rule, verdict FROM m) m ON m.page_id = p.page_id
+"""
+
+ORACLES = {"url_rules": RULES_SQL, "op3_vp_search": OP3_SQL, "op5_near_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op10_mixing": OP10_SQL}

@@ -1,9 +1,9 @@
 """URL filter: host and path rules over gradient-boosted trees on lexical features.
 
-DataFrame and Spark ML only.  The trees are trained from labelled URLs; those used by
-default are made here by a seeded rule, so that their number is a parameter and no
-list is shipped.  Features: lengths, depth, digit ratio, entropy, parameter counts, hyphens
-and block rates of host suffixes and host words as counted over the labelled URLs.
+DataFrame and Spark ML only.  Features: lengths, depth, digit ratios, entropies, parameter counts, hyphens, and block rates of host
+suffixes (the last label, the last two) as counted over labelled URLs; no words.  Rates of a training row come from the other
+folds of hosts, so that trees do not see a row's own label.  The labelled URLs used by default are made here by a seeded rule from
+shapes of hosts and paths; words are drawn from syllables, and their number is a parameter.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and
 gets the trees' verdict on empty features.  Repeated rows are judged alike; an empty table gives
@@ -26,15 +26,15 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-# Words that labelled urls are made of.
-PLAIN_WORDS = "news garden river travel library museum recipe music school science weather history forum review market kitchen".split()
-BAD_WORDS = "casino adult poker porn bet slots viagra pills xxx loan escort jackpot win sex cheap replica".split()
-SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to st tion ble ing ou".split()
-PLAIN_ENDS = "com org net example.com example.org example.net edu co.uk de fr".split()
-BAD_ENDS = "xyz top click com example.com example.net example.org net win info".split()
+# What names of labelled urls are made of, and what their hosts end in.
+SYLLABLES = "ba co di fu ge ho ja ki lu mo na pe ri so tu va wo ze cra plo stri ther ling ward ton ber gen land mark field".split()
+PLAIN_ENDS = "com com com org org net edu gov io co.uk org.uk de fr info".split()
+BAD_ENDS = "com com com org net net info xyz top click biz win".split()
 FEATURES = (
-    "url_len host_len path_len depth digit_ratio entropy n_params host_labels host_hyphens host_digits longest_label end_rate word_rate".split()
-)
+    "url_len host_len path_len depth digit_ratio host_digit_ratio entropy host_entropy n_params longest_param host_labels host_hyphens "
+    "longest_label end_rate two_rate"
+).split()
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,36 +66,62 @@ def first_rule(rules, host: Column, path: Column) -> Column:
     )
 
 
-def labelled_urls(spark: SparkSession, n: int = 3000, seed: int = 11) -> DataFrame:
+def labelled_urls(spark: SparkSession, n: int = 3000, seed: int = 11, syllables: list[str] = SYLLABLES) -> DataFrame:
     """``url, label`` (1: to block), by a seeded rule."""
 
     def draw(salt: int, of: int) -> Column:
         return F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(of)).cast("int")
 
-    def pick(words, salt: int) -> Column:
-        return F.element_at(F.array(*map(F.lit, words)), draw(salt, len(words)) + 1)
+    def pick(some, salt: int) -> Column:
+        return F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in some)), draw(salt, len(some)) + 1)
+
+    def word(salt: int, most: int = 4) -> Column:
+        parts = [F.when(draw(salt + k, 3) > 0, pick(syllables, salt + 10 + k)).otherwise("") for k in range(most - 1)]
+        return F.concat(pick(syllables, salt + 20), *parts)
+
+    def random_signs(salt: int, least: int, most: int) -> Column:
+        return F.substring(F.sha2(F.concat_ws(":", F.col("id"), F.lit(seed), F.lit(salt)), 256), F.lit(1), draw(salt, most - least) + least)
+
+    def segment(salt: int) -> Column:
+        dashed = F.concat_ws("-", word(salt + 100, 3), word(salt + 130, 3), word(salt + 160, 3))
+        return pick([word(salt + 190), word(salt + 220, 2), dashed, draw(salt, 100_000).cast("string"), draw(salt + 1, 999).cast("string"), (draw(salt + 2, 30) + 1995).cast("string")], salt + 3)
+
+    def path(salt: int, most: int) -> Column:
+        parts = F.array(*(F.concat(F.lit("/"), segment(salt + 300 * k)) for k in range(1, most + 1)))
+        tail = pick(["", "", "", "/", ".html", ".php", ".pdf"], salt + 2)
+        return F.concat(F.array_join(F.slice(parts, 1, draw(salt + 1, most) + 1), ""), tail)
 
     bad = draw(1, 2) == 1
-    syllables = F.concat(pick(SYLLABLES, 2), pick(SYLLABLES, 3), F.when(draw(4, 2) == 1, pick(SYLLABLES, 5)).otherwise(""))
-    plain_name = F.when(draw(6, 3) == 0, pick(PLAIN_WORDS, 7)).otherwise(syllables)
-    plain_name = F.when(draw(8, 12) == 0, F.concat_ws("-", plain_name, pick(PLAIN_WORDS, 9))).otherwise(plain_name)
-    digits = F.when(draw(10, 3) == 0, draw(11, 10000).cast("string")).otherwise("")
-    bad_name = F.concat_ws("-", pick(BAD_WORDS, 12), F.concat(F.element_at(F.array(*map(F.lit, [*BAD_WORDS, "x", "free", "best", "24"])), draw(13, len(BAD_WORDS) + 4) + 1), digits))
-    bad_name = F.when(draw(14, 8) == 0, F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 14), pick(BAD_WORDS, 15))).otherwise(bad_name)
-    end = F.when(bad, pick(BAD_ENDS, 16)).otherwise(pick(PLAIN_ENDS, 17))
-    host = F.concat(pick(["", "www.", "m.", "blog."], 18), F.when(bad, bad_name).otherwise(plain_name), F.lit("."), end)
-    page = F.concat(F.lit("/"), pick(["en", "de", "fr", "es"], 19), F.lit("/"), draw(20, 60000).cast("string"))
-    tail = pick(["", "", ".html", "/", "#top", "?page=2&ref=x", "?utm_source=feed"], 21)
-    words = F.concat(F.lit("/"), pick(PLAIN_WORDS, 22), F.lit("/"), pick(PLAIN_WORDS, 23), F.lit("-"), pick(PLAIN_WORDS, 24))
-    spam = F.concat(F.lit("/go/click?id="), draw(25, 10**8).cast("string"), F.lit("&aff="), draw(26, 10**6).cast("string"), F.lit("&s=1&b=2"))
-    path = F.when(bad & (draw(27, 4) == 0), spam).otherwise(F.when(draw(28, 3) == 0, words).otherwise(page))
-    return spark.range(n).select(
-        F.concat(pick(["http://", "https://"], 29), host, path, tail).alias("url"), bad.cast("double").alias("label")
+    short = F.substring(word(2000), F.lit(1), draw(2040, 4) + 1)
+    joined = F.concat_ws("-", word(2050, 3), word(2080, 3))
+    plain_name = F.when(draw(2110, 14) == 0, joined).otherwise(pick([word(2120), word(2150), word(2180), short, F.concat(word(2210), word(2240, 2))], 2270))
+    below = pick(["", "", "", "www.", "www.", "m.", "blog.", "docs.", "news.", F.concat(word(2300, 2), F.lit(".")), F.concat(F.lit("www."), word(2330, 2), F.lit(".")), F.concat(F.lit("m."), word(2360, 2), F.lit("."))], 2390)
+    plain_host = F.concat(below, plain_name, F.lit("."), pick(PLAIN_ENDS, 2400))
+    number = F.when(draw(3000, 3) == 0, draw(3001, 10000).cast("string")).otherwise("")
+    farm = F.concat_ws("-", word(3010, 2), F.concat(word(3040, 2), number), F.when(draw(3070, 3) == 0, word(3080, 2)))
+    drawn = F.concat(random_signs(3110, 10, 24), F.when(draw(3111, 2) == 0, word(3120, 2)).otherwise(""))
+    deep = F.concat_ws(".", random_signs(3150, 3, 9), word(3160, 2), random_signs(3190, 4, 8), F.concat(word(3200, 2), draw(3230, 99).cast("string")))
+    long_name = F.concat(*(word(3300 + 30 * k, 3) for k in range(4)), number)
+    bad_name = pick([farm, farm, farm, farm, farm, drawn, deep, long_name], 3500)
+    numbers = F.concat_ws(".", *(draw(3520 + k, 255).cast("string") for k in range(4)))
+    bad_host = F.when(draw(3540, 14) == 0, F.concat(numbers, pick(["", ":8080", ":81"], 3541))).otherwise(
+        F.concat(pick(["", "", "", "www.", "m.", "blog.", F.concat(word(3550, 2), F.lit("."))], 3580), bad_name, F.lit("."), pick(BAD_ENDS, 3581))
     )
+    few = pick(["", "", "", "", "#top", "?page=2", "?id=17&lang=x", "?utm_source=feed", F.concat(F.lit("?q="), word(3600, 3))], 3630)
+    many = F.concat(F.lit("?id="), draw(3640, 10**9).cast("string"), F.lit("&c="), random_signs(3641, 16, 40), F.lit("&a="), draw(3642, 10**6).cast("string"), pick(["&s=1", "", "&r=http%3A%2F%2F", "&z=9&y=8&x=7"], 3643))
+    laden = F.concat(plain_host, F.lit("/"), word(3650, 2), many)
+    by_path = draw(3700, 8) == 0  # a host like others, with what is passed on in its parameters
+    whole = F.when(~bad, F.concat(plain_host, path(4000, 4), few)).when(by_path, laden)
+    whole = whole.otherwise(F.concat(bad_host, path(8000, 3), F.when(draw(3710, 3) == 0, many).otherwise(few)))
+    return spark.range(n).select(F.concat(pick(["http://", "https://"], 3720), whole).alias("url"), bad.cast("double").alias("label"))
+
 
+def last_label(host: Column) -> Column:
+    return F.substring_index(host, ".", -1)
 
-def host_words(host: Column) -> Column:
-    return F.filter(F.split(host, r"[.\-0-9]+"), lambda w: F.length(w) > 0)
+
+def last_two(host: Column) -> Column:
+    return F.substring_index(host, ".", -2)
 
 
 def rates(labelled: DataFrame, part: Column, least: int = 8, most: int = 400) -> dict[str, float]:
@@ -122,33 +148,37 @@ def looked_up(table: dict[str, float], key: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), key), F.lit(0.5))
 
 
-def with_features(urls: DataFrame, end_rates: dict[str, float], word_rates: dict[str, float]) -> DataFrame:
+def entropy_of(text: Column) -> Column:
+    """In bits a character; characters are counted as they stand."""
+    length = F.greatest(F.char_length(text), F.lit(1))
+    share = lambda c: (F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))) / length
+    signs = F.filter(F.array_distinct(F.split(text, "")), lambda c: F.length(c) > 0)
+    return F.aggregate(signs, F.lit(0.0), lambda total, c: total - share(c) * F.log2(share(c)))
+
+
+def with_features(urls: DataFrame, rates_of: list[tuple[Column, dict, dict]]) -> DataFrame:
+    """The columns ``FEATURES``; the first of ``rates_of`` whose condition holds gives the rates of suffixes."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host, path = F.col("host"), F.col("path")
-    length = F.greatest(F.char_length(url), F.lit(1))
-    letters = F.array_distinct(F.split(url, ""))
-    share = lambda c: F.size(F.split(url, F.concat(F.lit(r"\Q"), c, F.lit(r"\E")), -1)) - 1
-    bits = F.aggregate(
-        F.filter(letters, lambda c: F.length(c) > 0),
-        F.lit(0.0),
-        lambda total, c: total - (share(c) / length) * F.log2(share(c) / length),
-    )
     labels = F.split(host, r"\.")
+    rate = lambda n, key: F.coalesce(*(F.when(c[0], looked_up(c[n], key)) for c in rates_of))
     return urls.withColumns(
         {
             "url_len": F.char_length(url).cast("double"),
             "host_len": F.char_length(host).cast("double"),
             "path_len": F.char_length(path).cast("double"),
             "depth": F.regexp_count(path, F.lit("/")).cast("double"),
-            "digit_ratio": F.regexp_count(url, F.lit("[0-9]")) / length,
-            "entropy": bits,
+            "digit_ratio": F.regexp_count(url, F.lit("[0-9]")) / F.greatest(F.char_length(url), F.lit(1)),
+            "host_digit_ratio": F.regexp_count(host, F.lit("[0-9]")) / F.greatest(F.char_length(host), F.lit(1)),
+            "entropy": entropy_of(url),
+            "host_entropy": entropy_of(host),
             "n_params": F.regexp_count(url, F.lit("[?&]")).cast("double"),
+            "longest_param": F.array_max(F.transform(F.split(F.regexp_extract(url, r"\?(.*)", 1), "[&=]"), F.char_length)).cast("double"),
             "host_labels": F.size(labels).cast("double"),
             "host_hyphens": F.regexp_count(host, F.lit("-")).cast("double"),
-            "host_digits": F.regexp_count(host, F.lit("[0-9]")).cast("double"),
             "longest_label": F.array_max(F.transform(labels, F.char_length)).cast("double"),
-            "end_rate": looked_up(end_rates, F.element_at(labels, -1)),
-            "word_rate": F.coalesce(F.array_max(F.transform(host_words(host), lambda w: looked_up(word_rates, w))), F.lit(0.5)),
+            "end_rate": rate(1, last_label(host)),
+            "two_rate": rate(2, last_two(host)),
         }
     )
 
@@ -160,21 +190,24 @@ def parts(df: DataFrame) -> DataFrame:
 class UrlFilter:
     """Trees and suffix statistics fitted to labelled urls (``url, label``)."""
 
-    def __init__(self, labelled: DataFrame, rules=RULES, trees: int = 10, depth: int = 3):
+    def __init__(self, labelled: DataFrame, rules=RULES, trees: int = 20, depth: int = 4):
         known = parts(labelled.select("url", F.col("label").cast("double").alias("label")).where("url is not null"))
+        known = known.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS))).coalesce(1).cache()
         self.rules = rules
-        self.end_rates = rates(known, F.array(F.element_at(F.split(F.col("host"), r"\."), -1)))
-        self.word_rates = rates(known, host_words(F.col("host")))
+        counted = lambda rows: (rates(rows, F.array(last_label(F.col("host")))), rates(rows, F.array(last_two(F.col("host")))))
+        folds = [(F.col("fold") == k, *counted(known.where(F.col("fold") != k))) for k in range(FOLDS)]
+        self.rates = [(F.lit(True), *counted(known))]
         boosted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=5)
-        stages = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), boosted])
-        rows = with_features(known, self.end_rates, self.word_rates).coalesce(1).cache()
+        stages = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), boosted])
+        rows = with_features(known, folds).coalesce(1).cache()
         self.model: PipelineModel = stages.fit(rows)
         rows.unpersist()
+        known.unpersist()
 
     def judge(self, pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
         """``page_id, host, path, rule, verdict, method_verdict, score`` for every row."""
         urls = parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
-        scored = self.model.transform(with_features(urls, self.end_rates, self.word_rates))
+        scored = self.model.transform(with_features(urls, self.rates))
         fits = first_rule(self.rules, F.col("host"), F.col("path"))
         method = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
         return scored.select(
@@ -185,3 +218,22 @@ class UrlFilter:
             F.coalesce(fits.getField("verdict"), method).alias("verdict"),
             method.alias("method_verdict"),
         )
+
+
+_fitted: dict[str, UrlFilter] = {}
+
+
+def default_filter(spark: SparkSession) -> UrlFilter:
+    """Fitted once in an application."""
+    key = spark.sparkContext.applicationId
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = UrlFilter(labelled_urls(spark))
+    return _fitted[key]
+
+
+def ruled(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``page_id, host, path, rule, verdict`` of every row by the rules alone; rule and verdict are null where none fits."""
+    urls = parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
+    fits = first_rule(rules, F.col("host"), F.col("path"))
+    return urls.select("page_id", "host", "path", fits.getField("rule").alias("rule"), fits.getField("verdict").alias("verdict"))

@@ -12,7 +12,7 @@ from kronika.llm import html_extract, html_tree, url_filter
 
 @pytest.fixture(scope="module")
 def urls(spark):
-    return url_filter.UrlFilter(url_filter.labelled_urls(spark, 2000))
+    return url_filter.UrlFilter(url_filter.labelled_urls(spark))
 
 
 def reference_rule(host, path):
@@ -46,13 +46,36 @@ def test_rules_by_brute_force(spark, urls):
         assert r.verdict == (want[0] if want else r.method_verdict)
 
 
+# Syllables that no training word has.
+OTHERS = "xi quo yel dru fna gwe iska ompa urt eff hys jor".split()
+
+
 def test_trees_on_urls_not_seen(spark, urls):
-    new = url_filter.labelled_urls(spark, 1500, seed=99).withColumn("page_id", F.monotonically_increasing_id())
+    """Other seeds, and hosts and paths of words none of which was in training."""
+    new = url_filter.labelled_urls(spark, 1500, seed=99, syllables=OTHERS).withColumn("page_id", F.monotonically_increasing_id()).cache()
     judged = urls.judge(new).join(new.select("page_id", "label"), "page_id")
     right = judged.where((F.col("method_verdict") == "block") == (F.col("label") == 1)).count()
+    new.unpersist()
     assert right / 1500 > 0.9
 
 
+PLAIN = """http://a.com/x https://www.bbc.co.uk/news/world-europe https://en.wikipedia.org/wiki/Flood https://docs.python.org/3/library/re.html
+https://github.com/apache/spark/pull/4711 http://www.library.edu/catalog/item?id=42 https://blog.river.org/2019/05/flood.html https://news.ycombinator.com/item?id=8863
+https://museum.de/ http://kitchen.fr/recipes/onion-soup https://stackoverflow.com/questions/11227809 https://www.gov.uk/browse/driving https://arxiv.org/abs/1706
+http://m.weather.net/today https://shop.garden.com/tools/spade https://example.com""".split()
+SPAM = """http://cheap-pills-24.top/buy http://win-big777.xyz/go/click?id=88319231&c=9f86d081884c7d659a2feaa0c55ad015&a=771 http://best-loan-now.info/apply
+http://a8f5f167f44f4964e6c998dee827110c.click/ http://free-bets-online99.biz/x http://x1.login.k39f2.secure-bank12.top/verify http://185.22.17.4:8080/dl
+http://hot-deals-4you.win/a?id=12345678&c=abcdef0123456789abcdef&a=99&z=9&y=8&x=7 http://replica-watch-store.click/sale http://get-rich-quick.biz/start""".split()
+
+
+def test_trees_on_urls_written_by_hand(spark, urls):
+    rows = [(i, u) for i, u in enumerate(PLAIN + SPAM)]
+    got = {r.page_id: r.method_verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[0] == "allow"
+    wrong = [u for i, u in rows if got[i] != ("allow" if i < len(PLAIN) else "block")]
+    assert len(wrong) <= len(rows) // 10, wrong
+
+
 def test_empty_pages(spark, urls):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
