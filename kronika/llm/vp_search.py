@@ -6,8 +6,8 @@ into the least Euclidean distance, so that the triangle inequality can prune.  A
 exact search, larger factors skip more.  Distances are roots of differences of squares near M^2, so rounding moves small ones
 by about 1e-8 M for each root of a dimension.
 
-Shards hold about ``shard_rows`` vectors by a hash of the id; each shard's tree is one row.  Queries are packed in blocks
-of about ``block`` and every block meets every shard; a shard returns k rows for each query and the best k of all stay.
+Shards hold about ``shard_rows`` vectors by a hash of the id; each shard's tree is one row and is sent to ``LANES`` tasks.  Queries are
+packed in blocks of about ``block``, which are sent to every shard's tree; a shard returns k rows for each query and the best k of all stay.
 Scores are plain sums over the original components in double precision, in order, so that equal vectors get
 equal scores; ties go to the smaller id.
 
@@ -30,6 +30,8 @@ from pyspark.sql import Window as W
 from .storage import materialize
 
 LEAF = 256
+#: A shard's queries are dealt to so many tasks, each of which is sent its tree.
+LANES = 4
 
 
 class Tree:
@@ -179,14 +181,19 @@ def search(
         .groupBy("dim", "block")
         .agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        .withColumn("lane", F.pmod("block", F.lit(LANES)))
     )
-    met = packed.join(trees.hint("merge"), ["dim", "shard"]).repartition(F.col("shard"), F.col("block"))
+    lanes = trees.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    met = packed.join(lanes.hint("merge"), ["dim", "shard", "lane"])
 
     def run(batches):
+        held, read = None, None
         for batch in batches:
             for tree, asked in zip(batch["tree"], batch["queries"]):
+                if tree != held:
+                    held, read = tree, pickle.loads(tree)
                 own = np.array([q["vec_id"] for q in asked], np.int64)
-                best, who = pickle.loads(tree).search(np.stack([q["vector"] for q in asked]).astype(float), own, k, factor)
+                best, who = read.search(np.stack([q["vector"] for q in asked]).astype(float), own, k, factor)
                 yield pd.DataFrame({"query_id": np.repeat(own, k), "vec_id": who.ravel(), "score": best.ravel()})[
                     lambda x: x["score"] > -np.inf
                 ]
