@@ -313,3 +313,14 @@ def canonical_order(declared: DataFrame, prerequisites: DataFrame) -> DataFrame:
             break
         placed = placed.unionByName(ready)
     return declared.join(placed, "op", "left").select("op", "phase", "level")
+
+
+def finding_order(variants: tuple[str, ...], *fields: str) -> list[Column]:
+    """Findings by variant as listed, unknown ones last, then by their fields with nulls first."""
+    place = F.array_position(F.array(*map(F.lit, variants)), F.col("finding"))
+    return [F.when(place > 0, place).otherwise(len(variants) + 1), "finding", *(F.col(f).asc_nulls_first() for f in fields)]
+
+
+def numbered_findings(findings: DataFrame, report: str, variants: tuple[str, ...], *fields: str) -> DataFrame:
+    """``findings`` with ``nth``: their place in the report (a column) that they belong to."""
+    return findings.withColumn("nth", F.row_number().over(W.partitionBy(report).orderBy(*finding_order(variants, *fields))))

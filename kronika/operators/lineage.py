@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.tables import materialize
+
 
 def chain_parents(journal: DataFrame) -> DataFrame:
     """Parent by evidence: of the same entity's earlier rows with the wanted hash the one with the largest sequence.
 
-    An equi-join on (entity, hash) with a range residual, then one aggregation; also counts the matches.
+    Wanted and own hashes are rows of one table, so that a window over (entity, hash) finds the last one before: one shuffle, and equal
+    payloads do not multiply.  Also counts the matches.
     """
-    child = journal.select("global_sequence", "entity", "prev_hash")
-    parent = journal.select(F.col("global_sequence").alias("p_seq"), F.col("entity").alias("p_entity"), "event_hash")
-    matches = child.join(
-        parent,
-        (F.col("entity") == F.col("p_entity")) & (F.col("prev_hash") == F.col("event_hash")) & (F.col("p_seq") < F.col("global_sequence")),
+    wanted = journal.select("global_sequence", "entity", F.col("prev_hash").alias("hash"), F.lit(False).alias("is_parent"))
+    own = journal.select("global_sequence", "entity", F.col("event_hash").alias("hash"), F.lit(True).alias("is_parent"))
+    before = W.partitionBy("entity", "hash").orderBy("global_sequence", "is_parent").rowsBetween(W.unboundedPreceding, -1)
+    met = wanted.unionByName(own).where("hash is not null").withColumns(
+        {
+            "parent": F.max(F.when(F.col("is_parent"), F.col("global_sequence"))).over(before),
+            "matches": F.count(F.when(F.col("is_parent"), 1)).over(before),
+        }
     )
-    return matches.groupBy("global_sequence").agg(F.max("p_seq").alias("parent"), F.count(F.lit(1)).alias("matches"))
+    return met.where("not is_parent and matches > 0").select("global_sequence", "parent", "matches")
 
 
 def stream_parents(journal: DataFrame) -> DataFrame:
@@ -41,21 +45,23 @@ def stream_parents(journal: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame, anchors: DataFrame, limit: int) -> DataFrame:
     """``anchor, depth, global_sequence``: up to ``limit`` rows from each anchor (depth 0) upwards.
 
-    One equi-join for each step with the edges (``global_sequence, parent``); a walk stops at a row without parent or one that it
-    has met.
+    Edges are ``global_sequence, parent``, at most one for each row.  Walks double: with the ancestor ``n`` steps up of every row, walks of
+    ``n`` rows become walks of ``2 * n``, so that a limit takes as many rounds as it has bits; each is a table.  A walk stops
+    at a row without parent or one that it has met.
     """
-    step = anchors.select(
-        F.col("global_sequence").alias("anchor"), F.lit(0).alias("depth"), "global_sequence", F.array("global_sequence").alias("path")
-    )
-    steps = [step]
-    for depth in range(1, limit):
-        step = (
-            step.join(edges, "global_sequence")
-            .where(~F.array_contains("path", F.col("parent")))
-            .select("anchor", F.lit(depth).alias("depth"), F.col("parent").alias("global_sequence"), F.array_append("path", F.col("parent")).alias("path"))
-        )
-        steps.append(step)
-    return reduce(DataFrame.unionByName, steps).drop("path")
+    walk = anchors.select(F.col("global_sequence").alias("anchor"), F.lit(0).alias("depth"), "global_sequence")
+    jump = edges.select(F.col("global_sequence").alias("row"), F.col("parent").alias("far")).where("far is not null")
+    width = 1
+    while width < limit:
+        jump = materialize(jump, "jumps")
+        depth = F.col("depth") + width
+        met = walk.join(jump, F.col("global_sequence") == F.col("row")).where(depth < limit)
+        walk = materialize(walk.unionByName(met.select("anchor", depth.alias("depth"), F.col("far").alias("global_sequence"))), "walks")
+        onward = jump.select(F.col("row").alias("far"), F.col("far").alias("further"))
+        jump = jump.join(onward, "far").select("row", F.col("further").alias("far"))
+        width *= 2
+    first = walk.groupBy("anchor", "global_sequence").agg(F.min("depth").alias("depth"))  # a walk round a cycle only repeats itself
+    return first.select("anchor", "depth", "global_sequence")
 
 
 def causes(journal: DataFrame) -> DataFrame:

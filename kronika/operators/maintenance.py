@@ -16,6 +16,12 @@ def should_compact(sealed: int, least: int = 2) -> bool:
     return sealed >= least
 
 
+def compaction_plan(journal: DataFrame, by: str, least: int = 2) -> DataFrame:
+    """``sealed, decision`` of every ``by``: segments but the last are sealed, and too few of them are not worth a rewrite."""
+    sealed = journal.groupBy(by).agg((F.count_distinct("segment") - 1).alias("sealed"))
+    return sealed.withColumn("decision", F.when(F.col("sealed") >= least, "compact").otherwise("skip"))
+
+
 def merge(journal: DataFrame, path: str, files: int) -> None:
     """Rewrite as fewer files in commit order; rows do not change."""
     journal.repartitionByRange(files, "global_sequence").sortWithinPartitions("global_sequence").write.mode("overwrite").parquet(path)

@@ -24,6 +24,22 @@ def page(journal: DataFrame, where: Region, after: int | None, limit: int) -> Da
     return rows.orderBy("global_sequence").limit(limit)
 
 
+def newest(journal: DataFrame, where: Region, limit: int) -> DataFrame:
+    """The last ``limit`` rows of a region: every task holds ``limit`` rows, no more, and only those are merged."""
+    return region(journal, where).orderBy(F.col("global_sequence").desc()).limit(limit)
+
+
+def newest_by(journal: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """The last ``limit`` rows of every key; tasks drop the others before the shuffle."""
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("global_sequence").desc()))
+    return journal.withColumn("nth", nth).where(F.col("nth") <= limit)
+
+
+def payloads(journal: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` (``nth, event_id``) with the payload of each event, in one scan; null where there is none."""
+    return plan.join(journal.select("event_id", "payload"), "event_id", "left").select("nth", "event_id", "payload")
+
+
 def metadata(journal: DataFrame) -> DataFrame:
     return journal.drop("payload")
 

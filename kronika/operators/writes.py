@@ -84,3 +84,15 @@ def envelopes(bodies: DataFrame, signatures: DataFrame) -> DataFrame:
         F.sha2(F.concat(own, F.coalesce("signers_hash", F.lit(""))), 256).alias("envelope_hash"),
         finding.alias("finding"),
     )
+
+
+def checked_transitions(new: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``new`` with ``verdict``: what a write of a transition (``machine, from_state, to_state``) would be told.
+
+    ``allowed`` (``machine, from_state, to_state``) is a registry's edges.
+    """
+    edges = allowed.distinct().withColumn("known", F.lit(True))
+    machines = allowed.select("machine").distinct().withColumn("known_machine", F.lit(True))
+    met = new.join(edges, ["machine", "from_state", "to_state"], "left").join(machines, "machine", "left")
+    verdict = F.when(F.col("known"), "accepted").when(F.col("known_machine"), "forbidden_edge").otherwise("unknown_machine")
+    return met.withColumn("verdict", verdict).drop("known", "known_machine")

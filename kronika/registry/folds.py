@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import importing, maintenance, projection, sessions, visibility
+from ..operators import cache, importing, maintenance, projection, sessions, visibility
 from ..sources.journal import events_journal as journal
 from ..sources.journal import talks_journal
 from ..sources.tables import new_path as stored
@@ -47,7 +47,14 @@ def e4(s, d):
     return projection.merge_sums(saved, delta, ("events", "total"), ("watermark",))
 
 
-@R.add("e5_strategy")
+STRATEGY = """
+SELECT *, CASE WHEN relevant = 0 THEN 'empty' WHEN cached AND current THEN 'group_local_hit' WHEN cached AND incremental THEN 'group_local_incremental'
+  WHEN cached THEN 'direct_replay' WHEN external THEN 'external_cache_then_replay' ELSE 'direct_replay' END AS strategy
+FROM (VALUES (0), (5)) r(relevant), (VALUES (true), (false)) c(cached), (VALUES (true), (false)) k(current), (VALUES (true), (false)) i(incremental), (VALUES (true), (false)) x(external)
+"""
+
+
+@R.add("e5_strategy", STRATEGY)
 def e5(s, d):
     cases = [(n, c, k, i, x) for n in (0, 5) for c in (True, False) for k in (True, False) for i in (True, False) for x in (True, False)]
     return s.createDataFrame([(*c, projection.strategy(*c)) for c in cases], "relevant int, cached boolean, current boolean, incremental boolean, external boolean, strategy string")
@@ -248,6 +255,33 @@ def k6(s, d):
     return maintenance.compaction_report(before, maintenance.retain(before, F.col("kind") != 0x1001, active))
 
 
+@R.add("h4_compaction_plan", sql("SELECT entity, count(DISTINCT segment) - 1 AS sealed, CASE WHEN count(DISTINCT segment) - 1 >= 2 THEN 'compact' ELSE 'skip' END AS decision FROM s GROUP BY 1", SEG.replace("FROM j)", "FROM j WHERE entity IS NOT NULL)")))
+def h4(s, d):
+    return maintenance.compaction_plan(segments(s, d)[0].where("entity is not null"), "entity")
+
+
+@R.add("g8_kind_union", sql("SELECT 'two' AS folds, kind, count(*) AS rows FROM j WHERE kind IN (4097, 8193, 8194) GROUP BY ALL UNION ALL SELECT 'one_reads_all', kind, count(*) FROM j GROUP BY ALL"))
+def g8(s, d):
+    """What fused folds read together: the union of their kinds, or all where one reads all."""
+    rows = journal(s, d).select("kind")
+    sets = {"two": ((0x2001, 0x2002), (0x2002, 0x1001)), "one_reads_all": ((0x2002,), ())}
+    parts = [projection.relevant(rows, projection.kind_union(*x)).groupBy("kind").agg(F.count(F.lit(1)).alias("rows")).withColumn("folds", F.lit(n)) for n, x in sets.items()]
+    return parts[0].unionByName(parts[1]).select("folds", "kind", "rows")
+
+
+@R.add("l_projection_cache", sql("SELECT entity AS key, max(global_sequence) FILTER (kind = 8194 OR entity NOT LIKE 'user:1%') AS watermark, (count(*) FILTER (kind = 8194 OR entity NOT LIKE 'user:1%'))::VARCHAR AS state FROM j WHERE kind = 8194 OR entity NOT LIKE 'user:1%' GROUP BY 1"))
+def l_cache(s, d):
+    """All states put, those of a prefix dropped, some of these put again from purchases only, and the cache rewritten."""
+    rows = journal(s, d)
+    state = lambda df: df.groupBy(F.col("entity").alias("key")).agg(F.max("global_sequence").alias("watermark"), F.count(F.lit(1)).cast("string").alias("state"))
+    kept = cache.ProjectionCache(s, stored(s))
+    kept.put(state(rows))
+    kept.delete_prefix("user:1")
+    kept.put(state(rows.where((F.col("kind") == 0x2002) & F.startswith("entity", F.lit("user:1")))))
+    kept.sync()
+    return kept.get()
+
+
 @R.add("h5_fences", sql("SELECT global_sequence FROM j WHERE NOT EXISTS (SELECT 1 FROM cancelled c WHERE global_sequence >= c.lo AND global_sequence < c.hi AND (c.lo // 100) % 3 <> 0)", CANCELLED))
 def h5(s, d):
     rows = journal(s, d).select("global_sequence")

@@ -171,7 +171,17 @@ def b16(s, d):
     return journal(s, d).select("global_sequence", out.alias("disposition"))
 
 
-@R.add("b17_region_identity")
+IDENTITIES = """
+SELECT * FROM (VALUES
+  ('b1_all', 'entity=-|scope=-|fact=-|clock=-'), ('b2_namespace', 'entity=6:user:1|scope=-|fact=-|clock=-'),
+  ('b2_namespace_root', 'entity=4:user|scope=-|fact=-|clock=-'), ('b3_scope', 'entity=-|scope=14:day:2024-01-02|fact=-|clock=-'),
+  ('b4_kind', 'entity=-|scope=-|fact=kind:8194|clock=-'), ('b5_category', 'entity=-|scope=-|fact=category:2|clock=-'),
+  ('b6_any_kind', 'entity=-|scope=-|fact=any|clock=-'), ('b7_clock', 'entity=-|scope=-|fact=category:1|clock=2..4'),
+  ('b8_lane', 'entity=-|scope=-|fact=-|clock=-|lane=1')) t(region, identity)
+"""
+
+
+@R.add("b17_region_identity", IDENTITIES)
 def b17(s, d):
     rows = [(name, where.identity()) for name, (where, _) in sorted(REGIONS.items())]
     return s.createDataFrame(rows, "region string, identity string")
@@ -240,6 +250,24 @@ def c3(s, d):
     return shown(query.page(journal(s, d), Region(), None, 0))
 
 
+@R.add("c3_top_k", sql(f"SELECT {COLS} FROM j ORDER BY global_sequence DESC LIMIT 40"))
+def c3_top(s, d):
+    return shown(query.newest(journal(s, d), Region(), 40))
+
+
+@R.add("c3_top_k_by_entity", sql("SELECT entity, global_sequence, nth FROM (SELECT entity, global_sequence, (row_number() OVER (PARTITION BY entity ORDER BY global_sequence DESC))::INTEGER AS nth FROM j) WHERE nth <= 3"))
+def c3_by_entity(s, d):
+    return query.newest_by(journal(s, d).select("entity", "global_sequence"), 3, "entity").select("entity", "global_sequence", "nth")
+
+
+@R.add("a4_payloads", sql("SELECT p.nth, p.event_id, j.payload FROM (SELECT event_id AS nth, lpad(lower(to_hex(event_id * 7)), 32, '0') AS event_id FROM events) p LEFT JOIN j ON j.event_id = p.event_id"))
+def a4(s, d):
+    """A plan that asks for every seventh event, in which ids beyond the last have no payload."""
+    rows = journal(s, d)
+    plan = rows.select(F.col("global_sequence").alias("nth"), source.id_of(F.col("global_sequence") * 7).alias("event_id"))
+    return query.payloads(rows, plan)
+
+
 @R.add("c6_position_order", sql("SELECT a.global_sequence AS a, b.global_sequence AS b, CASE WHEN a.dag_lane = b.dag_lane AND a.dag_depth = b.dag_depth THEN CASE WHEN a.global_sequence < b.global_sequence THEN 'before' WHEN a.global_sequence > b.global_sequence THEN 'after' ELSE 'equal' END ELSE 'unordered' END AS relation FROM j a JOIN j b ON b.event_id = a.causation_id"))
 def c6(s, d):
     """Every event of the table that has a cause, against that cause."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..operators import maintenance, projection, writes
+from ..operators import evidence, maintenance, projection, writes
 from ..sources.journal import events_journal as journal
 from .base import Registry, sql
 
@@ -74,4 +75,35 @@ def k12(s, d):
     return writes.envelopes(bodies, signed.withColumn("verdict", F.when(F.col("signer") % 40 == 0, "invalid").otherwise("valid")))
 
 
+MACHINE = """
+t AS (SELECT o_orderkey, CASE WHEN o_custkey % 10 = 9 THEN 'refund' ELSE 'order' END AS machine,
+        coalesce(lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 'O') AS from_state, o_orderstatus AS to_state FROM orders)
+"""
+
+
+@R.add(
+    "l_apply_transition",
+    f"WITH {MACHINE} SELECT o_orderkey, machine, from_state, to_state, CASE WHEN machine = 'refund' THEN 'unknown_machine' WHEN from_state || to_state IN ('OO', 'OF', 'OP', 'PF') THEN 'accepted' ELSE 'forbidden_edge' END AS verdict FROM t",
+)
+def l_transition(s, d):
+    """Every order's change of status, told before it is written whether the machine has that edge."""
+    before = F.lag("o_orderstatus").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    new = s.read.parquet(f"{d}/orders.parquet").select(
+        "o_orderkey", F.when(F.col("o_custkey") % 10 == 9, "refund").otherwise("order").alias("machine"), F.coalesce(before, F.lit("O")).alias("from_state"), F.col("o_orderstatus").alias("to_state")
+    )
+    edges = s.createDataFrame([("order", *e) for e in ("OO", "OF", "OP", "PF")], "machine string, from_state string, to_state string")
+    return writes.checked_transitions(new, edges)
+
+
+@R.add(
+    "c8_finding_order",
+    "SELECT l_orderkey AS report, l_linenumber AS line, finding, (row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE finding WHEN 'missing' THEN 1 WHEN 'late' THEN 2 ELSE 3 END, finding, l_suppkey NULLS FIRST, l_linenumber))::INTEGER AS nth "
+    "FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'late' WHEN l_returnflag = 'A' THEN 'missing' ELSE 'other' END AS finding FROM lineitem)",
+)
+def c8(s, d):
+    kind = F.when(F.col("l_returnflag") == "R", "late").when(F.col("l_returnflag") == "A", "missing").otherwise("other")
+    rows = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("report"), F.col("l_linenumber").alias("line"), "l_suppkey", kind.alias("finding"))
+    return evidence.numbered_findings(rows, "report", ("missing", "late"), "l_suppkey", "line").select("report", "line", "finding", "nth")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

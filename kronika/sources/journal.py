@@ -99,19 +99,53 @@ def open_journal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def _heads_folder(path: str) -> str:
+    return f"{path.rstrip('/')}_heads"
+
+
+def _heads_of(rows: DataFrame) -> DataFrame:
+    head = F.max_by(F.struct("global_sequence", "clock", "wall_ms", "event_hash"), "global_sequence").alias("head")
+    return rows.groupBy("entity", "dag_lane").agg(head)
+
+
+def chain_heads(journal: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """``entity, dag_lane, head`` of every chain, and the sequence up to which they were stored (-1: not yet).
+
+    Heads are a table beside the journal; those stored last are brought up to date by the rows behind them, which is all that is
+    read of the journal: the bound on the sequence reaches its scan.  So a run that ended between the two writes costs time only.
+    """
+    spark = journal.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_heads_folder(path))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = [int(x.getName().split("=")[1]) for x in names if fs.exists(x.suffix("/_SUCCESS"))]
+    upto = max(done, default=-1)
+    behind = _heads_of(journal.where(F.col("global_sequence") > upto))
+    if upto < 0:
+        return behind, upto
+    stored = spark.read.schema(behind.schema).parquet(f"{folder}/upto={upto}")
+    newest = F.max_by("head", "head.global_sequence").alias("head")
+    return stored.unionByName(behind).groupBy("entity", "dag_lane").agg(newest), upto
+
+
 def append(journal: DataFrame | None, new: DataFrame, path: str) -> None:
     """Number ``new`` after ``journal``, chain it, and add it to ``path``.
 
     ``new`` has ``ordinal`` (0, 1, ... in commit order), ``entity, scope, kind, wall_ms, dag_lane, payload``.
-    The write is one commit.  Chain heads of the stored part, one row per (entity, lane), are all that is read of it.
+    The write is one commit; a journal has one writer at a time.  What is read of the stored part is the table of its chains' heads and the
+    rows behind it (``chain_heads``).  Rows lie by sequence, so that bounds on it skip files and row groups.
     """
-    last = -1 if journal is None else journal.agg(F.coalesce(F.max("global_sequence"), F.lit(-1))).first()[0]
+    last = -1
+    if journal is not None:
+        heads, upto = chain_heads(journal, path)
+        found = heads.agg(F.max("head.global_sequence").alias("last"), F.max(F.col("head.global_sequence") > upto).alias("behind")).first()
+        last = -1 if found["last"] is None else found["last"]
+        if found["behind"]:
+            heads.write.mode("overwrite").parquet(f"{_heads_folder(path)}/upto={last}")
+            heads, _ = chain_heads(journal, path)
     numbered = new.withColumn("global_sequence", F.col("ordinal").cast("long") + last + 1)
     fresh = numbered.withColumns({"event_id": id_of(F.col("global_sequence")), "event_hash": F.sha2(F.col("payload"), 256)})
     if journal is not None:
-        heads = journal.groupBy("entity", "dag_lane").agg(
-            F.max_by(F.struct("clock", "wall_ms", "event_hash"), "global_sequence").alias("head")
-        )
         fresh = fresh.join(heads, ["entity", "dag_lane"], "left")
     else:
         fresh = fresh.withColumn("head", F.lit(None).cast("struct<clock:int,wall_ms:long,event_hash:string>"))
@@ -132,7 +166,7 @@ def append(journal: DataFrame | None, new: DataFrame, path: str) -> None:
         "timestamp_us": F.col("wall_ms") * 1000,
     }
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    chained.withColumns(fixed).select(*names).write.mode("append").parquet(path)
+    chained.withColumns(fixed).select(*names).sortWithinPartitions("global_sequence").write.mode("append").parquet(path)
 
 
 def snapshot(journal: DataFrame, path: str, visible: int) -> DataFrame:

@@ -111,3 +111,18 @@ def with_restarts(run: Callable[[], None], budget: int) -> int:
             if used == budget:
                 raise
     return budget
+
+
+def committed(spark: SparkSession, path: str, schema: str, checkpoint: str, out: str) -> None:
+    """Rows (``marker = 'row'``) of batches whose commit marker has come, from whatever file; markers never show.
+
+    A join of the stream with itself: rows wait in its state for their batch's marker.
+    """
+    frames = source(spark, path, schema)
+    done = source(spark, path, schema).where("marker = 'commit'").select("batch")
+    rows = frames.where("marker = 'row'").join(done, "batch").drop("marker")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/delivery={number}")
+
+    drain(spark, rows, checkpoint, handle)
