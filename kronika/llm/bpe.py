@@ -25,22 +25,21 @@ import itertools
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import slices
+from .texts import slices, small
 
 
 #: Pieces a worker keeps between batches, and pieces that go to DuckDB at once.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 400_000
 PIECES_AT_ONCE = 20_000
 #: Pieces of more bytes are encoded in chunks of ``2 * STEP`` bytes, one from every ``STEP`` bytes on, so that rounds do not grow with
 #: the piece; so many bytes of a piece, or characters of texts, at a time.
 LONG, STEP = 200, 64
-FRESH, SEGMENT, TEXT_AT_ONCE = 256, 1 << 17, 4_000_000
+FRESH, SEGMENT, TEXT_AT_ONCE = 256, 1 << 17, 2_000_000
 
 ENCODE = """
 WITH RECURSIVE steps AS (
@@ -399,15 +398,15 @@ def tokenize(
     out = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if keep_ids:
         out += ", ids array<int>, decoded string"
+    kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+    kinds = kinds if keep_ids else kinds[:3]
 
     def run(batches):
         split, coder = Splitter(pattern), coder_for(path, ranks.value)
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            rows = [found.row() for found in encode_texts(texts, split, coder, keep_ids)]
-            names = [x.split()[0] for x in out.split(", ")][1:]
-            got = pd.DataFrame(rows, columns=names)
-            got.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield got
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, out)
+        for batch in small(batches, "text", TEXT_AT_ONCE):
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            columns = zip(*(found.row() for found in encode_texts(texts, split, coder, keep_ids)))
+            arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], ["doc_id", *(name for name, _ in kinds)])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)

@@ -24,21 +24,20 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .texts import slices
+from .texts import slices, small
 
 
 #: Letters with their marks; the plain pattern does the same for texts without marks and letters of other scripts, faster.
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 LATIN_WORDS, OTHER = re.compile(r"[^\W\d_²³¹¼½¾]+"), re.compile("[^\x00-\u02ff]")
 SEGMENT = 64
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 #: Up to so many languages, counted, their sizes are broadcast.
 BROADCAST_LANGS = 10_000
 #: Sizes of the tables of weights: byte pairs, byte triples, starts and ends of words.
@@ -314,14 +313,15 @@ def identify(
 
     def run(batches):
         tagger = shared.value
-        for batch in batches:
-            best, score = predictions(tagger, list(batch["text"]))
-            langs = [tagger.langs[i] if i >= 0 else UNKNOWN for i in best]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": langs, "score": score})
+        for batch in small(batches, "text"):
+            best, score = predictions(tagger, batch["text"].to_pylist())
+            langs = pa.array([tagger.langs[i] if i >= 0 else UNKNOWN for i in best], pa.string())
+            columns = [batch["doc_id"], batch["held_out"], langs, pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(
         F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")
-    ).mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    ).mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(
@@ -337,7 +337,7 @@ def keep_identified(
     shared = fitted(docs, per_lang, most_chars, id_col, text_col, lang_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, text_col):
             best, score = predictions(shared.value, batch.column(text_col).to_pylist())
             yield batch.filter(pa.array((best >= 0) & (score >= min_score)))
 

@@ -29,13 +29,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import minhash, mixed, shingle_sets
 from .storage import materialize
-from .texts import slices
+from .texts import slices, small
 
 HASHES, DEPTH, TREES, REGION = 128, 3, 21, 32
 #: Nodes of a block of a crowded region; two blocks are compared at a time.
@@ -62,16 +63,14 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     """``id, n, set_key, sig``; an empty set has neither key nor signature."""
 
     def run(batches):
-        for batch in batches:
-            sets = sets_of(batch, width)
+        for batch in small(batches, "text"):
+            sets = shingle_sets([t or "" for t in batch["text"].to_pylist()], width)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
             sigs = [minhash(s, HASHES).tobytes() if len(s) else None for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "known": batch["known"], "n": [*map(len, sets)], "set_key": keys, "sig": sigs})
+            columns = [pa.array([*map(len, sets)], pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["id"], *columns], ["id", "n", "set_key", "sig"])
 
-    # pandas holds longs beside nulls as doubles, so nulls are told by a column of their own
-    filled = docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "text")
-    found = filled.mapInPandas(run, "id long, known boolean, n long, set_key string, sig binary")
-    return found.select(F.when(F.col("known"), F.col("id")).alias("id"), "n", "set_key", "sig")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_key string, sig binary")
 
 
 def prefix_keys(sigs: np.ndarray, tree: np.ndarray | int, depth: int) -> np.ndarray:

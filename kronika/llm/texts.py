@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def slices(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
@@ -14,3 +17,15 @@ def slices(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
             start, size = i, 0
         size += len(text)
     yield slice(start, len(texts))
+
+
+def small(batches: Iterable[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of about ``most`` bytes of a text column, or one longer text; parts are views, not copies."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch[column]), 0).cast(pa.int64())).to_numpy()
+        start = 0
+        while start < len(batch):
+            before = ends[start - 1] if start else 0
+            stop = max(int(ends.searchsorted(before + most, "right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
