@@ -47,3 +47,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bound what goes to a Python worker at once: texts may be long.
+
+    Plans read the setting when they run, so it is one for all operators here, whatever their order, and only ever lowered.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
